@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters removed as zero-width.
-ZERO_WIDTH = "​‌‍﻿­"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff\u00ad"
 
 # A byline starts with one of these letters (any case) and may end with one of
 # these source words in brackets.
