@@ -3,6 +3,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom import schemas
 from newsloom.functions.dates import parse_local
@@ -22,10 +23,10 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
 def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
     """Articles from files that each hold one JSON array of records. A missing file, malformed
     text and a top level that is no array all give no rows."""
-    schema = schemas.ARTICLE_RECORD
+    schema = T.StructType([*schemas.ARTICLE_RECORD.fields, T.StructField("_bad", T.StringType())])
     try:
         raw = (
-            spark.read.schema(schema.add("_bad", "string") if "_bad" not in schema.names else schema)
+            spark.read.schema(schema)
             .option("multiLine", True)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_bad")
@@ -42,7 +43,7 @@ def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_articles_json(texts: DataFrame, column: str, *keep: str) -> DataFrame:
     """The same reading for texts already held in a column."""
-    array = F.from_json(column, F.lit(f"array<struct<{_record()}>>"))
+    array = F.from_json(column, T.ArrayType(schemas.ARTICLE_RECORD))
     is_array = F.col(column).rlike(r"^\s*\[")
     return (
         texts.where(is_array)
@@ -52,10 +53,6 @@ def parse_articles_json(texts: DataFrame, column: str, *keep: str) -> DataFrame:
     )
 
 
-def _record() -> str:
-    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schemas.ARTICLE_RECORD)
-
-
 def newest_first(articles: DataFrame) -> DataFrame:
     """Total order by the naive date, undated articles last, arrival order on ties. ``seq`` is
     part of the range key, so a date shared by many rows still spreads over partitions."""
