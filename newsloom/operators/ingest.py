@@ -9,11 +9,12 @@ from newsloom.operators.skew import first_per_key
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """``url, title, date, content`` of each page; ``content`` is NULL when nothing usable was
-    found, which is what counts as a failed page."""
+    """``url, title, date, content, seq`` of each page; ``content`` is NULL when nothing usable
+    was found, which is what counts as a failed page. Pages arrive in the order of their ids."""
     content = html.main_text(F.col("html"))
     return pages.select(
         "url",
+        F.col("page_id").alias("seq"),
         html.title(F.col("html")).alias("title"),
         html.date_text(F.col("html")).alias("date"),
         F.when(~text.is_blank(content), content).alias("content"),

@@ -1,6 +1,8 @@
 """Joins and per-key picks that hold when one key owns a large share of the rows."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,13 +43,15 @@ def salted_join(
 ) -> DataFrame:
     """Join a side with hot keys (``left``, an inner or left join) to a side with unique keys.
     Rows of hot keys spread over ``salts`` partitions by the hash of ``salt_by``; the matching
-    right rows are copied once per salt. Other keys are joined as usual."""
+    right rows are copied once per salt. Rows with a NULL key match nothing and are spread too.
+    Other keys are joined as usual."""
     hot = hot_keys(left, keys, share)
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     spread = (
         left.join(F.broadcast(hot), list(keys), "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+            F.when(F.col("_hot") | no_key, F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
             .otherwise(F.lit(0)),
         )
         .drop("_hot")

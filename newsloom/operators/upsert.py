@@ -12,15 +12,13 @@ def latest_per_key(rows: DataFrame, key: str, version: str = "batch_id") -> Data
     return first_per_key(rows, [key], [F.desc(version)])
 
 
-def latest_per_url(rows: DataFrame, version: str = "batch_id") -> DataFrame:
-    """Rows of each url's newest version. Rows without url have no newer version to yield to.
-    The newest versions come from a narrow aggregate, combined before the shuffle."""
-    newest = (
-        rows.where(~is_blank(F.col("url")))
-        .groupBy("url").agg(F.max(version).alias(version))
-    )
-    kept = rows.where(~is_blank(F.col("url"))).join(newest, ["url", version], "left_semi")
-    return kept.unionByName(rows.where(is_blank(F.col("url"))))
+def latest_per_group(rows: DataFrame, group: str, version: str = "batch_id") -> DataFrame:
+    """All rows of each group's newest version. Rows without group have no newer version to yield
+    to. The newest versions come from a narrow aggregate, combined before the shuffle."""
+    grouped = rows.where(~is_blank(F.col(group).cast("string")))
+    newest = grouped.groupBy(group).agg(F.max(version).alias(version))
+    kept = grouped.join(newest, [group, version], "left_semi")
+    return kept.unionByName(rows.where(is_blank(F.col(group).cast("string"))))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -1,0 +1,29 @@
+"""Where intermediate tables live, and how a plan's lineage is cut."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where the
+    setting is missing, as in tests."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A path nobody else uses, below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared folder; later uses read that, even after executors
+    are lost."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.operators.upsert import latest_per_key, latest_per_url
+from newsloom.operators.upsert import latest_per_group, latest_per_key
 
 
 class BatchStore:
@@ -48,12 +48,16 @@ class BatchStore:
         """Rows of other batches only: what a repeated run of ``batch_id`` must compare with."""
         return self.versions().where(F.col("batch_id") != F.lit(int(batch_id)))
 
-    def current(self, replace_by: str = "key") -> DataFrame:
+    def batch(self, batch_id: int) -> DataFrame:
+        """Rows of one batch, read back from the table."""
+        return self.versions().where(F.col("batch_id") == F.lit(int(batch_id))).drop("batch_id")
+
+    def current(self, replace_by: str | None = None) -> DataFrame:
         """The newest row of each key. ``replace_by='url'`` also drops rows left over from an
         older, longer version of the same article."""
         rows = self.versions()
-        if replace_by == "url":
-            rows = latest_per_url(rows)
+        if replace_by:
+            rows = latest_per_group(rows, replace_by)
         return latest_per_key(rows, self.key).drop("batch_id")
 
     def compact(self, path: str) -> "BatchStore":
