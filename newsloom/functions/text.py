@@ -5,6 +5,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters removed as zero-width.
 ZERO_WIDTH = "\u200b\u200c\u200d\ufeff\u00ad"
@@ -32,7 +33,7 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(r"(?U)[^\s\x1C-\x1F]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 

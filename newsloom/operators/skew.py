@@ -23,7 +23,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> Data
     """Keys that hold more than one row in ``share``: at most ``share`` of them can exist, which
     is the bound that makes them safe to broadcast."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("_all"))
+    total = counts.agg(F.sum("_n").alias("_all"))
     return (
         counts.join(F.broadcast(total), F.col("_n") * share > F.col("_all"))
         .select(*keys)

@@ -4,7 +4,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsloom import schemas
 from newsloom.functions.embedding import PredictorFactory, embed
@@ -13,10 +12,6 @@ from newsloom.operators.skew import first_per_key
 from newsloom.sources.feeds import feed_items
 from newsloom.sources.store import BatchStore
 
-EMBEDDED_CHUNKS = T.StructType([
-    *schemas.CHUNKS.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))
-])
-
 
 def articles_from_feeds(feed_xml: DataFrame, pages: DataFrame) -> DataFrame:
     """Articles of the pages that the feeds link to. A link many feeds repeat is one narrow row
@@ -39,7 +34,7 @@ class NewsTables:
         return cls(
             BatchStore(spark, f"{root}/articles", schemas.ARTICLES, "url"),
             BatchStore(spark, f"{root}/articles_clean", schemas.ARTICLES, "url"),
-            BatchStore(spark, f"{root}/chunks", EMBEDDED_CHUNKS, "chunk_id"),
+            BatchStore(spark, f"{root}/chunks", schemas.EMBEDDED_CHUNKS, "chunk_id"),
         )
 
 

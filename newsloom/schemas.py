@@ -2,26 +2,35 @@
 
 from pyspark.sql import types as T
 
+STRING, INT, BIGINT = T.StringType(), T.IntegerType(), T.LongType()
+DOUBLE, TIMESTAMP = T.DoubleType(), T.TimestampType()
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
 
+def _table(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-FEEDS = _schema("feed_url string")
-FEED_XML = _schema("feed_url string, xml string")
-FEED_ITEMS = _schema("feed_url string, pos int, title string, guid string, link string, url string")
-PAGES = _schema("page_id bigint, url string, html string")
-ARTICLE_RECORD = _schema("title string, date string, content string, url string")
-ARTICLES = _schema("url string, title string, date string, content string, seq bigint")
-CHUNKS = _schema(
-    "chunk_id string, url string, title string, date string, published_at timestamp, "
-    "chunk_index int, total_chunks int, text string"
+
+MESSAGES = T.ArrayType(_table(role=STRING, text=STRING))
+
+FEEDS = _table(feed_url=STRING)
+FEED_XML = _table(feed_url=STRING, xml=STRING)
+FEED_ITEMS = _table(feed_url=STRING, pos=INT, title=STRING, guid=STRING, link=STRING, url=STRING)
+PAGES = _table(page_id=BIGINT, url=STRING, html=STRING)
+ARTICLE_RECORD = _table(title=STRING, date=STRING, content=STRING, url=STRING)
+ARTICLES = _table(url=STRING, title=STRING, date=STRING, content=STRING, seq=BIGINT)
+CHUNKS = _table(
+    chunk_id=STRING, url=STRING, title=STRING, date=STRING, published_at=TIMESTAMP,
+    chunk_index=INT, total_chunks=INT, text=STRING,
+)
+EMBEDDED_CHUNKS = T.StructType(
+    [*CHUNKS.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]
 )
-QUESTIONS = _schema("q_id bigint, question string")
-KB = _schema("lang string, title string, url string, text string, alias_of string, pos int")
-TURNS = _schema("conv_id bigint, turn bigint, role string, text string")
-ANSWER_LOG = _schema(
-    "ts timestamp, question string, elapsed_seconds double, recency_status string, "
-    "crawl_count int, crawl_history array<string>, docs_found_count int, final_answer string, "
-    "messages array<struct<role:string,text:string>>"
+QUESTIONS = _table(q_id=BIGINT, question=STRING)
+KB = _table(lang=STRING, title=STRING, url=STRING, text=STRING, alias_of=STRING, pos=INT)
+TURNS = _table(conv_id=BIGINT, turn=BIGINT, role=STRING, text=STRING)
+TURNS_WITH_HISTORY = T.StructType([*TURNS.fields, T.StructField("history", MESSAGES)])
+ANSWER_LOG = _table(
+    ts=TIMESTAMP, question=STRING, elapsed_seconds=DOUBLE, recency_status=STRING,
+    crawl_count=INT, crawl_history=T.ArrayType(STRING), docs_found_count=INT,
+    final_answer=STRING, messages=MESSAGES,
 )

@@ -19,7 +19,7 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     """One row per usable item of each ``(feed_url, xml)`` document, in document order. The link
     is the item's guid when the tag is there, even empty, otherwise its link; items whose link
     does not start with ``http`` are dropped, as are unreadable documents."""
-    doc = F.from_xml("xml", _FEED)
+    doc = F.from_xml("xml", _FEED, {"ignoreSurroundingSpaces": "false"})
     none = F.array().cast(_ITEM)
     items = feeds.select("feed_url", doc.alias("doc")).select(
         "feed_url",

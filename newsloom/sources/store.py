@@ -5,7 +5,6 @@ again replaces that batch instead of adding to it. Readers resolve rows that sev
 share; ``compact`` writes the resolved table elsewhere when the overlap has grown.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +12,11 @@ from pyspark.sql import types as T
 from newsloom.operators.upsert import latest_per_group, latest_per_key
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 class BatchStore:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str):
         self.spark = spark
@@ -37,12 +41,9 @@ class BatchStore:
     def versions(self) -> DataFrame:
         """Every stored row with its ``batch_id``; empty before the first write."""
         schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return self.spark.createDataFrame([], schema)
-            raise
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def before(self, batch_id: int) -> DataFrame:
         """Rows of other batches only: what a repeated run of ``batch_id`` must compare with."""

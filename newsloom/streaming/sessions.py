@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import schemas
@@ -10,11 +9,6 @@ from newsloom.operators.history import history_last_n
 from newsloom.operators.upsert import latest_per_group
 from newsloom.sources.store import BatchStore
 
-MESSAGES = T.ArrayType(T.StructType([
-    T.StructField("role", T.StringType()), T.StructField("text", T.StringType())
-]))
-TURNS_WITH_HISTORY = T.StructType([*schemas.TURNS.fields, T.StructField("history", MESSAGES)])
-
 
 class SessionMemory:
     """``seen`` holds every turn with its history; ``tails`` the last ``n`` turns of each
@@ -22,7 +16,7 @@ class SessionMemory:
 
     def __init__(self, spark: SparkSession, root: str, n: int = 8):
         self.n = n
-        self.seen = BatchStore(spark, f"{root}/seen", TURNS_WITH_HISTORY, "turn")
+        self.seen = BatchStore(spark, f"{root}/seen", schemas.TURNS_WITH_HISTORY, "turn")
         self.tails = BatchStore(spark, f"{root}/tails", schemas.TURNS, "turn")
 
     def take(self, turns: DataFrame, batch_id: int) -> None:
