@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import strip
+from newsloom.functions.text import letter_class, strip
 
 # The question types, the fallback type and the phrases that set a time window.
 QUESTION_TYPES = ("sports_news", "sports_wiki", "off_topic")
@@ -66,7 +66,7 @@ def detect_language(
     letters = letters or {"vi": VIETNAMESE_LETTERS}
     found = F.lit(None).cast("string")
     for lang, marks in reversed(letters.items()):
-        found = F.when(text.rlike(f"(?iu)[{marks}]"), F.lit(lang)).otherwise(found)
+        found = F.when(text.rlike(letter_class(marks)), F.lit(lang)).otherwise(found)
     return F.coalesce(found, F.lit(default))
 
 

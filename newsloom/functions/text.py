@@ -1,6 +1,7 @@
 """Text cleaning as column expressions; only NFC leaves the JVM."""
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,14 +19,37 @@ BYLINE_LETTERS = (
 )
 BYLINE_SOURCES = "theo|tổng hợp|ghi|báo"
 
-# Unicode white space plus the four separators Python's str.strip also removes.
-_SPACE = r"[\s\x1C-\x1F]"
+# What counts as white space: everything Python's str.strip removes.
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
+def letter_class(letters: str) -> str:
+    """A regular-expression class of these letters in both cases, as code point ranges. Case is
+    written out because Java's case-insensitive classes are slow on long texts."""
+    points = sorted({ord(x) for c in letters for x in c + c.lower() + c.upper()})
+    ranges: list[list[int]] = []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip(c: Column) -> Column:
-    """Trim Unicode white space. The look-behind starts a match only at the head of a run, so
-    a long inner run of blanks costs linear time."""
-    return F.regexp_replace(c, rf"(?U)\A{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z", "")
+    """Trim Unicode white space at both ends."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
+def remove(c: Column, characters: str) -> Column:
+    for x in characters:
+        c = F.replace(c, F.lit(x), F.lit(""))
+    return c
 
 
 def is_blank(c: Column) -> Column:
@@ -45,7 +69,7 @@ def nfc(c: Column) -> Column:
 
 
 def drop_zero_width(c: Column) -> Column:
-    return F.translate(c, ZERO_WIDTH, "")
+    return remove(c, ZERO_WIDTH)
 
 
 def flatten_tables(c: Column) -> Column:
@@ -56,13 +80,19 @@ def flatten_tables(c: Column) -> Column:
         is_row = line.startswith("|") & line.endswith("|") & (F.length(line) >= 3)
         return F.when(is_row, F.array_join(cells, " | ")).otherwise(line)
 
-    lines = F.transform(F.split(c, "\n", -1), flat)
-    return F.when(c.contains("|"), F.array_join(lines, "\n")).otherwise(c)
+    def flat_lines(c: Column) -> Column:
+        lines = F.transform(F.split(c, "\n", -1), flat)
+        return F.when(c.contains("|"), F.array_join(lines, "\n")).otherwise(c)
+
+    return once(c, flat_lines)
 
 
 def normalize_spaces(c: Column) -> Column:
     """Three or more newlines become two, then tab and CR become a space, then strip."""
-    return strip(F.translate(F.regexp_replace(c, r"\n{3,}", "\n\n"), "\t\r", "  "))
+    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    for x in "\t\r":
+        c = F.replace(c, F.lit(x), F.lit(" "))
+    return strip(c)
 
 
 def strip_byline(c: Column) -> Column:

@@ -1,5 +1,7 @@
 """The package's entities derived from the driver's tables, whole tables each time."""
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from newsloom.functions.embedding import embed
 from newsloom.functions.questions import detect_language
 from newsloom.operators.ingest import chunk_articles
 from newsloom.plans.scratch import settle
+from newsloom.sources.tables import read_table
 
 AS_OF = "2024-01-31 00:00:00"
 # Keyword rules for the invented languages of the driver's text.
@@ -20,7 +23,7 @@ PHRASES = (" tháng này", " tuần này", " hôm nay", " trong 3 giờ", " last
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def as_of() -> Column:
@@ -101,7 +104,8 @@ def kb_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     asked = questions(spark, sf_dir)
     direct = titles.select(
-        (-2 * F.col("page_id") - 1).alias("q_id"), F.upper("title").alias("question")
+        (-2 * F.col("page_id") - 1).alias("q_id"),
+        F.translate("title", ascii_lowercase, ascii_uppercase).alias("question"),
     )
     ambiguous = titles.select(
         (-2 * F.col("page_id") - 2).alias("q_id"),

@@ -1,5 +1,7 @@
 """DuckDB SQL that states, independently of Spark, what each registered query must return."""
 
+from string import ascii_lowercase, ascii_uppercase
+
 from newsloom.functions.questions import DECLINE_EN, DECLINE_VI, VIETNAMESE_LETTERS
 from newsloom.functions.rendering import (
     LOOKUP_REQUEST, NEWS_REQUEST, NOTHING_FOUND_TEXT, OLD_NOTE,
@@ -289,7 +291,7 @@ KB_PAGES = f"""kb_pages AS (
   FROM (SELECT page_id, url, {_title('html')} AS title, {_main_text('html')} AS text FROM pages))"""
 KB_QUESTIONS = f"""kb_questions AS (
   SELECT * FROM questions
-  UNION ALL SELECT -2 * page_id - 1, upper({_title('html')}) FROM pages
+  UNION ALL SELECT -2 * page_id - 1, translate({_title('html')}, '{ascii_lowercase}', '{ascii_uppercase}') FROM pages
   UNION ALL SELECT -2 * page_id - 2, ' about  ' || {_title('html')} FROM pages)"""
 
 
