@@ -50,12 +50,18 @@ def chunk_articles(articles: DataFrame, splitter: Column | None = None) -> DataF
     return (
         articles.where(F.col("content") != "")
         .select("url", "title", "date", pieces.alias("pieces"))
+        # Dates and counts are settled per article, so that exploding copies only short columns.
         .select(
-            "url", "title", "date",
+            "url", "title", "date", "pieces",
             parse_utc(F.col("date")).alias("published_at"),
             F.size("pieces").alias("total_chunks"),
-            F.posexplode("pieces").alias("chunk_index", "text"),
         )
+        .select(
+            "url", "title", "date", "published_at", "total_chunks",
+            # The outer form keeps Spark from computing the pieces once more as a scan filter.
+            F.posexplode_outer("pieces").alias("chunk_index", "text"),
+        )
+        .where(F.col("text").isNotNull())
         .select(
             ids.chunk_id(F.col("url"), F.col("chunk_index"), F.col("text")).alias("chunk_id"),
             "url", "title", "date", "published_at", "chunk_index", "total_chunks", "text",

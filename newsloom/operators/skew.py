@@ -7,7 +7,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1024
+HOT_KEYS = 1024
+HOT_ROWS = 100_000
 
 
 def first_per_key(
@@ -19,16 +20,18 @@ def first_per_key(
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than one row in ``share``: at most ``share`` of them can exist, which
-    is the bound that makes them safe to broadcast."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    return (
-        counts.join(F.broadcast(total), F.col("_n") * share > F.col("_all"))
-        .select(*keys)
-        .withColumn("_hot", F.lit(True))
-    )
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], *, at_most: int = HOT_KEYS, min_rows: int = HOT_ROWS
+) -> DataFrame | None:
+    """The fullest keys with more than ``min_rows`` rows as a local table, None without any. Only
+    ``at_most`` come back, which bounds what the driver and a broadcast hold; any other key has
+    less than one row in ``at_most`` of the table. Counts are combined before the shuffle."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > min_rows)
+    fullest = counts.orderBy(F.desc("_n")).limit(at_most).select(*keys)
+    rows = fullest.collect()
+    if not rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, fullest.schema).withColumn("_hot", F.lit(True))
 
 
 def salted_join(
@@ -39,32 +42,23 @@ def salted_join(
     salt_by: Sequence[str],
     how: str = "inner",
     salts: int = 32,
-    share: int = HOT_SHARE,
+    **hot_options,
 ) -> DataFrame:
-    """Join a side with hot keys (``left``, an inner or left join) to a side with unique keys.
-    Rows of hot keys spread over ``salts`` partitions by the hash of ``salt_by``; the matching
-    right rows are copied once per salt. Rows with a NULL key match nothing and are spread too.
-    Other keys are joined as usual."""
-    hot = hot_keys(left, keys, share)
+    """Join a side that may have hot keys (``left``, an inner or left join) to a side with unique
+    keys. Counts the left keys first: without hot ones it is a plain join. Otherwise rows of hot
+    keys spread over ``salts`` partitions by the hash of ``salt_by`` and the matching right rows
+    are copied once per salt. Rows with a NULL key match nothing and are spread too."""
+    hot = hot_keys(left, keys, **hot_options)
+    if hot is None:
+        return left.join(right, list(keys), how)
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    spread = (
-        left.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot") | no_key, F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-            .otherwise(F.lit(0)),
-        )
-        .drop("_hot")
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    spread = left.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(0)
     )
-    copies = (
-        right.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                .otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
+    copies = right.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
     )
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+    joined = spread.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how)
+    return joined.drop("_salt")

@@ -237,7 +237,7 @@ def clean_text(spark, d):
 @query
 def chunk_fixed(spark, d):
     return _docs(spark, d).select(
-        "doc_id", F.posexplode(chunking.chunk_fixed(F.col("text"))).alias("chunk_index", "text")
+        "doc_id", F.posexplode_outer(chunking.chunk_fixed(F.col("text"))).alias("chunk_index", "text")
     ).select("doc_id", "chunk_index", F.length("text").alias("n_chars"), _md5("text").alias("text_md5"))
 
 
@@ -265,7 +265,7 @@ def chunks_per_article(spark, d):
 @query
 def embed_hash(spark, d):
     vector = embedding.embed(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.posexplode(vector).alias("bucket", "n")).where(
+    return _docs(spark, d).select("doc_id", F.posexplode_outer(vector).alias("bucket", "n")).where(
         "n > 0"
     ).select("doc_id", "bucket", F.col("n").cast("int").alias("n"))
 
@@ -547,7 +547,7 @@ def render_context(spark, d):
 @query
 def parse_blocks(spark, d):
     rendered = context.render_context(_with_text(spark, d))
-    return rendered.select("q_id", F.posexplode(rendering.parse_blocks(F.col("context"))).alias(
+    return rendered.select("q_id", F.posexplode_outer(rendering.parse_blocks(F.col("context"))).alias(
         "pos", "b"
     )).select("q_id", "pos", "b.title", "b.url", "b.date", "b.text")
 

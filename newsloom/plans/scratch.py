@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: str | None = None
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where the
@@ -12,9 +14,10 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    global _local
+    if _local is None:
+        _local = tempfile.mkdtemp(prefix="newsloom-")
+    return _local
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -23,7 +26,8 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder; later uses read that, even after executors
-    are lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once into a table in the shared folder and read that from then on, even
+    after executors are lost. Later uses prune columns and know the table's size."""
+    path = new_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

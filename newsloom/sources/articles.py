@@ -47,7 +47,7 @@ def parse_articles_json(texts: DataFrame, column: str, *keep: str) -> DataFrame:
     is_array = F.col(column).rlike(r"^\s*\[")
     return (
         texts.where(is_array)
-        .select(*keep, F.posexplode(array).alias("pos", "a"))
+        .select(*keep, F.posexplode_outer(array).alias("pos", "a"))
         .where(F.coalesce("a.title", "a.date", "a.content", "a.url").isNotNull())
         .select(*keep, "pos", "a.*")
     )

@@ -21,9 +21,10 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     does not start with ``http`` are dropped, as are unreadable documents."""
     doc = F.from_xml("xml", _FEED, {"ignoreSurroundingSpaces": "false"})
     none = F.array().cast(_ITEM)
+    # The outer form keeps Spark from parsing each document once more as a filter.
     items = feeds.select("feed_url", doc.alias("doc")).select(
         "feed_url",
-        F.posexplode(
+        F.posexplode_outer(
             F.concat(F.coalesce("doc.channel.item", none), F.coalesce("doc.item", none))
         ).alias("pos", "item"),
     )
