@@ -45,11 +45,11 @@ def clean_articles(articles: DataFrame, *, byline: bool = True) -> DataFrame:
 
 def chunk_articles(articles: DataFrame, splitter: Column | None = None) -> DataFrame:
     """One row per chunk with its article's metadata, position, count and id. ``splitter`` is an
-    array-of-text column over ``content``; the recursive splitter is the default."""
+    array-of-text column over ``content``; the recursive splitter is the default. Empty articles
+    have no pieces; a filter on the content would only make Spark clean it twice."""
     pieces = chunking.chunk_recursive(F.col("content")) if splitter is None else splitter
     return (
-        articles.where(F.col("content") != "")
-        .select("url", "title", "date", pieces.alias("pieces"))
+        articles.select("url", "title", "date", pieces.alias("pieces"))
         # Dates and counts are settled per article, so that exploding copies only short columns.
         .select(
             "url", "title", "date", "pieces",

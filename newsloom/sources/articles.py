@@ -1,12 +1,12 @@
 """Reading and writing page and article tables."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom import schemas
 from newsloom.functions.dates import parse_local
+from newsloom.sources.tables import path_exists
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -23,26 +23,14 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
 def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
     """Articles from files that each hold one JSON array of records. A missing file, malformed
     text and a top level that is no array all give no rows."""
-    schema = T.StructType([*schemas.ARTICLE_RECORD.fields, T.StructField("_bad", T.StringType())])
-    try:
-        raw = (
-            spark.read.schema(schema)
-            .option("multiLine", True)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_bad")
-            .json(path)
-        )
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schemas.ARTICLE_RECORD)
-        raise
-    fields = ["title", "date", "content", "url"]
-    some = F.coalesce(*[F.col(f) for f in fields]).isNotNull()
-    return raw.where(F.col("_bad").isNull() & some).select(*fields)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schemas.ARTICLE_RECORD)
+    files = spark.read.text(path, wholetext=True)
+    return parse_articles_json(files, "value").drop("pos")
 
 
 def parse_articles_json(texts: DataFrame, column: str, *keep: str) -> DataFrame:
-    """The same reading for texts already held in a column."""
+    """The same reading for whole texts held in a column, with each record's position."""
     array = F.from_json(column, T.ArrayType(schemas.ARTICLE_RECORD))
     is_array = F.col(column).rlike(r"^\s*\[")
     return (

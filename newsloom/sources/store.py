@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.operators.upsert import latest_per_group, latest_per_key
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+from newsloom.sources.tables import path_exists
 
 
 class BatchStore:
