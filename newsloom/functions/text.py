@@ -26,7 +26,8 @@ WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 def letter_class(letters: str) -> str:
     """A regular-expression class of these letters in both cases, as code point ranges. Case is
     written out because Java's case-insensitive classes are slow on long texts."""
-    points = sorted({ord(x) for c in letters for x in c + c.lower() + c.upper()})
+    cases = {x for c in letters for x in (c, c.lower(), c.upper())}
+    points = sorted(ord(x) for x in cases if len(x) == 1)
     ranges: list[list[int]] = []
     for p in points:
         if ranges and p == ranges[-1][1] + 1:

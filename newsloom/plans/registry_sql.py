@@ -158,7 +158,7 @@ def _title(c: str) -> str:
 def _main_text(c: str) -> str:
     noise = "|".join(
         rf"<{n}\b[^>]*>.*?</{n}\s*>"
-        for n in ("noscript", "template", "iframe", "svg", "nav", "footer", "aside", "form")
+        for n in ("head", "title", "noscript", "template", "iframe", "svg", "nav", "footer", "aside", "form")
     )
     page = f"regexp_replace({_visible(c)}, '(?is){noise}', '', 'g')"
     body = rf"regexp_extract({page}, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1)"
