@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import chunking, html, ids, text
 from newsloom.functions.dates import parse_utc
-from newsloom.operators.skew import first_per_key
+from newsloom.operators.skew import first_per_key, only_keys, salted_join
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -25,17 +25,30 @@ def drop_blank(rows: DataFrame, column: str = "content") -> DataFrame:
     return rows.where(~text.is_blank(F.col(column)))
 
 
+def _with_url_key(rows: DataFrame) -> DataFrame:
+    """Two never-NULL columns that stand for the url, so that NULL urls group and join like any
+    other and one partitioning serves both."""
+    return rows.withColumns({
+        "_no_url": F.col("url").isNull(), "_url": F.coalesce("url", F.lit(""))
+    })
+
+
 def first_articles(articles: DataFrame) -> DataFrame:
     """The first article of each url in arrival order (``seq``); NULL urls are one url."""
     return first_per_key(articles, ["url"], ["seq"])
 
 
 def new_articles(articles: DataFrame, existing: DataFrame) -> DataFrame:
-    """Articles whose url is not stored yet, first arrival per url; NULL equals NULL. Known urls
-    are made distinct on the narrow column first, so no key repeats on either side."""
-    fresh = first_articles(articles).alias("n")
-    known = existing.select("url").distinct().alias("k")
-    return fresh.join(known, F.col("n.url").eqNullSafe(F.col("k.url")), "left_anti")
+    """Articles whose url is not stored yet, first arrival per url; NULL equals NULL.
+
+    Stored urls are first reduced to those the batch mentions, then made distinct, so neither
+    side of the anti-join repeats a key and its cost follows the batch. Picking the first arrival
+    and the anti-join share one shuffle of the articles."""
+    keys = ["_no_url", "_url"]
+    arrived = _with_url_key(articles)
+    known = only_keys(_with_url_key(existing.select("url")), arrived, keys).select(*keys).distinct()
+    fresh = first_per_key(arrived, keys, ["seq"]).join(known, keys, "left_anti")
+    return fresh.select(*articles.columns)
 
 
 def clean_articles(articles: DataFrame, *, byline: bool = True) -> DataFrame:
@@ -72,11 +85,12 @@ def chunk_articles(articles: DataFrame, splitter: Column | None = None) -> DataF
 def ingest_stats(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Succeeded and failed items per feed. ``pages`` has one row per url and a ``content``
     column; an item fails when its page is missing or has no content. Items are counted per feed
-    and url before the join, so a link that every feed repeats is one row per feed."""
+    and url before the join, and a link that very many feeds share is spread by feed."""
     wanted = items.groupBy("feed_url", "url").agg(F.count("*").alias("n"))
-    ok = F.col("content").isNotNull()
+    usable = pages.select("url", F.col("content").isNotNull().alias("ok"))
+    ok = F.coalesce("ok", F.lit(False))
     return (
-        wanted.join(pages.select("url", "content"), "url", "left")
+        salted_join(wanted, usable, ["url"], salt_by=["feed_url"], how="left")
         .groupBy("feed_url")
         .agg(
             F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("succeeded"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 1024
 HOT_ROWS = 100_000
+BROADCAST_ROWS = 200_000
 
 
 def first_per_key(
@@ -20,6 +21,18 @@ def first_per_key(
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def only_keys(
+    big: DataFrame, wanted: DataFrame, keys: Sequence[str], *, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Rows of ``big`` whose keys occur in ``wanted``. Counts the wanted keys first: few are
+    broadcast, so ``big`` is filtered where it is scanned and only what is left is shuffled
+    later; many are joined by shuffle, where adaptive execution splits a hot key of ``big``."""
+    distinct = wanted.select(*keys).distinct()
+    if distinct.count() <= broadcast_rows:
+        distinct = F.broadcast(distinct)
+    return big.join(distinct, list(keys), "left_semi")
+
+
 def hot_keys(
     df: DataFrame, keys: Sequence[str], *, at_most: int = HOT_KEYS, min_rows: int = HOT_ROWS
 ) -> DataFrame | None:

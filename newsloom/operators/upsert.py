@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import is_blank
-from newsloom.operators.skew import first_per_key
+from newsloom.operators.skew import BROADCAST_ROWS, first_per_key, salted_join
+from newsloom.scratch import settle
 
 
 def latest_per_key(rows: DataFrame, key: str, version: str = "batch_id") -> DataFrame:
@@ -12,13 +13,36 @@ def latest_per_key(rows: DataFrame, key: str, version: str = "batch_id") -> Data
     return first_per_key(rows, [key], [F.desc(version)])
 
 
-def latest_per_group(rows: DataFrame, group: str, version: str = "batch_id") -> DataFrame:
+def resolve_versions(
+    rows: DataFrame, key: str, version: str = "batch_id", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The row with the highest ``version`` of each key, for tables where few keys repeat. Which
+    ones do is settled from the key column alone; only their rows are ranked, and when there are
+    none the table is read as it lies."""
+    repeated = settle(
+        rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+        .select(F.col(key).alias("_repeated"))
+    )
+    n = repeated.count()
+    if n == 0:
+        return rows
+    if n <= broadcast_rows:
+        repeated = F.broadcast(repeated)
+    same = F.col(key).eqNullSafe(F.col("_repeated"))
+    single = rows.join(repeated, same, "left_anti")
+    return single.unionByName(latest_per_key(rows.join(repeated, same, "left_semi"), key, version))
+
+
+def latest_per_group(
+    rows: DataFrame, group: str, row_id: str, version: str = "batch_id"
+) -> DataFrame:
     """All rows of each group's newest version. Rows without group have no newer version to yield
-    to. The newest versions come from a narrow aggregate, combined before the shuffle."""
-    grouped = rows.where(~is_blank(F.col(group).cast("string")))
-    newest = grouped.groupBy(group).agg(F.max(version).alias(version))
-    kept = grouped.join(newest, [group, version], "left_semi")
-    return kept.unionByName(rows.where(is_blank(F.col(group).cast("string"))))
+    to. The newest versions come from a narrow aggregate, combined before the shuffle, and a
+    group with very many rows is spread by ``row_id``."""
+    has_group = ~is_blank(F.col(group).cast("string"))
+    newest = rows.where(has_group).groupBy(group).agg(F.max(version).alias(version))
+    kept = salted_join(rows.where(has_group), newest, [group, version], salt_by=[row_id])
+    return kept.select(*rows.columns).unionByName(rows.where(~has_group))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions.embedding import PredictorFactory, embed
 from newsloom.operators import ingest as ops
-from newsloom.operators.skew import first_per_key
+from newsloom.operators.skew import first_per_key, only_keys
 from newsloom.sources.feeds import feed_items
 from newsloom.sources.store import BatchStore
 
@@ -17,7 +17,7 @@ def articles_from_feeds(feed_xml: DataFrame, pages: DataFrame) -> DataFrame:
     """Articles of the pages that the feeds link to. A link many feeds repeat is one narrow row
     before it meets the pages, and a page landed several times is reduced to its first landing."""
     links = feed_items(feed_xml).select("url").distinct()
-    landed = first_per_key(pages.join(links, "url", "left_semi"), ["url"], ["page_id"])
+    landed = first_per_key(only_keys(pages, links, ["url"]), ["url"], ["page_id"])
     return ops.drop_blank(ops.extract_pages(landed))
 
 
@@ -51,7 +51,8 @@ def ingest_batch(
     """Store one batch and return the row counts written. Only articles with unknown urls flow on
     (``on_conflict='latest'`` takes known ones again as a newer version). Each step reads the
     table the step before wrote, so nothing is computed twice and a lost executor costs one step.
-    Running a batch again leaves the tables as they were."""
+    Running a batch again leaves the tables as they were. ``articles`` is read twice, so settle
+    it when it is costly to compute."""
     if on_conflict not in ("keep", "latest"):
         raise ValueError(f"unknown conflict rule {on_conflict!r}")
     if on_conflict == "keep":

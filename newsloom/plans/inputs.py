@@ -10,7 +10,7 @@ from newsloom.functions.chunking import chunk_fixed
 from newsloom.functions.embedding import embed
 from newsloom.functions.questions import detect_language
 from newsloom.operators.ingest import chunk_articles
-from newsloom.plans.scratch import settle
+from newsloom.scratch import settle
 from newsloom.sources.tables import read_table
 
 AS_OF = "2024-01-31 00:00:00"

@@ -13,9 +13,9 @@ from newsloom.operators import (
     context, history, ingest, lookup, retrieval, routing, similarity, upsert,
 )
 from newsloom.plans import inputs
-from newsloom.plans.answer import answer_questions
+from newsloom.plans.answer import answer_questions, retrieve_context
 from newsloom.plans.ingest import NewsTables, articles_from_feeds, ingest_batch
-from newsloom.plans.scratch import new_dir, settle
+from newsloom.scratch import new_dir, settle
 from newsloom.sources import answer_log as log
 from newsloom.sources import articles as article_source
 from newsloom.sources import feeds as feed_source
@@ -544,6 +544,14 @@ def render_context(spark, d):
     return plain.join(prompt.withColumnRenamed("context", "prompt_context"), "q_id")
 
 
+@query
+def context_tool(spark, d):
+    return retrieve_context(
+        inputs.vector_questions(spark, d), inputs.vector_chunks(spark, d), as_of=inputs.AS_OF,
+        min_score=0.4, k=5,
+    )
+
+
 @query
 def parse_blocks(spark, d):
     rendered = context.render_context(_with_text(spark, d))
@@ -636,7 +644,7 @@ def _stored(tables: NewsTables) -> DataFrame:
 def ingest_run(spark, d):
     """Feeds and pages into the store, twice: the second run finds nothing new."""
     tables = NewsTables.at(spark, new_dir(spark, "news"))
-    arrived = articles_from_feeds(inputs.feeds(spark, d), _pages(spark, d))
+    arrived = settle(articles_from_feeds(inputs.feeds(spark, d), _pages(spark, d)))
     for batch_id in (0, 1):
         ingest_batch(
             arrived, tables, batch_id, splitter=chunking.chunk_fixed(F.col("content")), byline=False

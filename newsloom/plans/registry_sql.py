@@ -4,7 +4,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from newsloom.functions.questions import DECLINE_EN, DECLINE_VI, VIETNAMESE_LETTERS
 from newsloom.functions.rendering import (
-    LOOKUP_REQUEST, NEWS_REQUEST, NOTHING_FOUND_TEXT, OLD_NOTE,
+    LOOKUP_REQUEST, NEWS_REQUEST, NOTHING_FOUND_TEXT, NOT_FOUND_TEXT, OLD_NOTE,
 )
 from newsloom.functions.text import BYLINE_LETTERS, BYLINE_SOURCES
 from newsloom.plans.inputs import AS_OF, PHRASES, RULES
@@ -501,6 +501,9 @@ FROM ({_chunks('content', "(SELECT * FROM before WHERE url NOT IN (SELECT url FR
     "render_context": _with(VECTORS, SCORED, _top(20, 0.2), UNIQUE, SELECTED, FULL_HITS)
     + f"SELECT q_id, {_joined(PLAIN_BLOCK)} AS context, {_joined(PROMPT_BLOCK)} AS prompt_context "
     "FROM full_hits GROUP BY q_id",
+    "context_tool": _with(VECTORS, SCORED, _top(5, 0.4), UNIQUE, SELECTED, FULL_HITS)
+    + f"""SELECT q.q_id, coalesce(c.context, {_lit(NOT_FOUND_TEXT)}) AS context FROM q LEFT JOIN (
+  SELECT q_id, {_joined(PLAIN_BLOCK)} AS context FROM full_hits GROUP BY q_id) c ON c.q_id = q.q_id""",
     "parse_blocks": _with(VECTORS, SCORED, _top(20, 0.2), UNIQUE, SELECTED, FULL_HITS)
     + "SELECT q_id, rank - 1 AS pos, title, coalesce(url, 'N/A') AS url, "
     "coalesce(date, 'N/A') AS date, text FROM full_hits",

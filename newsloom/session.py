@@ -12,6 +12,8 @@ SETTINGS = {
     # that one batch of long documents fits beside the JVM heap.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording the Python call site of every column expression costs more than building it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.operators.upsert import latest_per_group, latest_per_key
+from newsloom.operators.upsert import latest_per_group, resolve_versions
 from newsloom.sources.tables import path_exists
 
 
@@ -54,8 +54,8 @@ class BatchStore:
         older, longer version of the same article."""
         rows = self.versions()
         if replace_by:
-            rows = latest_per_group(rows, replace_by)
-        return latest_per_key(rows, self.key).drop("batch_id")
+            rows = latest_per_group(rows, replace_by, self.key)
+        return resolve_versions(rows, self.key).drop("batch_id")
 
     def compact(self, path: str) -> "BatchStore":
         """Write the current rows as the single batch 0 of a new store."""

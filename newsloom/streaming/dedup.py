@@ -15,13 +15,13 @@ def dedup_stream(
     salts: int = 16,
 ) -> DataFrame:
     """One row per key within ``delay`` of the first sighting. Repeats are first dropped per key
-    and salt, so copies of one hot key are thinned in parallel before they meet."""
+    and salt, so copies of one hot key are thinned in parallel before they meet. The salt is the
+    number of the task that read the row: it differs between equal copies, and a task that runs
+    again after a failure gives its rows the same one."""
     marked = stream.withWatermark(time, delay)
     if salts > 1:
-        rest = [c for c in stream.columns if c not in keys]
-        salt = F.pmod(F.xxhash64(*rest), F.lit(salts)) if rest else F.lit(0)
         marked = (
-            marked.withColumn("_salt", salt)
+            marked.withColumn("_salt", F.spark_partition_id() % salts)
             .dropDuplicatesWithinWatermark([*keys, "_salt"])
             .drop("_salt")
         )

@@ -6,6 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import schemas
 from newsloom.operators.history import history_last_n
+from newsloom.operators.skew import only_keys
 from newsloom.operators.upsert import latest_per_group
 from newsloom.sources.store import BatchStore
 
@@ -24,10 +25,8 @@ class SessionMemory:
         filter, which Spark applies before the shuffle as well, and the histories by blocks, so
         one long conversation does not end up in one task."""
         turns = turns.select(*schemas.TURNS.names)
-        touched = turns.select("conv_id").distinct()
-        old = latest_per_group(
-            self.tails.before(batch_id).join(touched, "conv_id", "left_semi"), "conv_id"
-        ).drop("batch_id")
+        tails = only_keys(self.tails.before(batch_id), turns, ["conv_id"])
+        old = latest_per_group(tails, "conv_id", "turn").drop("batch_id")
         both = old.withColumn("_new", F.lit(False)).unionByName(turns.withColumn("_new", F.lit(True)))
         with_history = history_last_n(both, self.n)
         self.seen.append(with_history.where("_new"), batch_id)

@@ -138,6 +138,12 @@ def test_recursive_column_matches_function(one):
     assert one(chunking.chunk_recursive, values) == [chunking.split_recursive(v) for v in values]
 
 
+def test_splitter_from_sql(spark):
+    chunking.register_sql(spark)
+    got = spark.sql("SELECT posexplode(chunk_text(repeat('x', 801)))").collect()
+    assert [(r[0], len(r[1])) for r in got] == [(0, 800), (1, 151)]
+
+
 @QUICK
 @given(st.lists(st.integers(0, 60), min_size=1, max_size=5))
 def test_fixed_chunks(one, sizes):

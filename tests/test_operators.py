@@ -297,7 +297,7 @@ def test_latest_per_group(spark):
     df = spark.createDataFrame(
         [("u", 0, 0), ("u", 1, 0), ("u", 0, 1), ("v", 5, 0), (None, 7, 0), ("", 8, 1)],
         "url string, i int, batch_id bigint")
-    assert rows(upsert.latest_per_group(df, "url"), "url", "i", "batch_id") == sorted(
+    assert rows(upsert.latest_per_group(df, "url", "i"), "url", "i", "batch_id") == sorted(
         [("u", 0, 1), ("v", 5, 0), (None, 7, 0), ("", 8, 1)], key=repr)
 
 
@@ -389,3 +389,22 @@ def test_answer_log_round_trip(spark, tmp_path):
     got = answer_log.read_log(spark, path).collect()
     assert len(got) == 2 and got[0]["elapsed_seconds"] == 1.235
     assert [(m["role"], m["text"]) for m in got[0]["messages"]] == [("human", "q?"), ("ai", "đáp")]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+def test_resolve_versions(spark, broadcast_rows):
+    df = spark.createDataFrame(
+        [("a", 0, "x"), ("a", 2, "z"), ("a", 1, "y"), ("b", 0, "b"), (None, 0, "n"), (None, 1, "m")],
+        "k string, batch_id bigint, v string")
+    got = upsert.resolve_versions(df, "k", broadcast_rows=broadcast_rows)
+    assert rows(got, "k", "v") == sorted([("a", "z"), ("b", "b"), (None, "m")], key=repr)
+    unique = df.where("k = 'b'")
+    assert upsert.resolve_versions(unique, "k") is unique
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+def test_only_keys(spark, broadcast_rows):
+    big = spark.createDataFrame([(i, i % 3) for i in range(30)], "id bigint, k bigint")
+    wanted = spark.createDataFrame([(1,), (1,), (9,)], "k bigint")
+    got = skew.only_keys(big, wanted, ["k"], broadcast_rows=broadcast_rows)
+    assert rows(got, "id") == sorted(((i,) for i in range(30) if i % 3 == 1), key=repr)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions.chunking import chunk_fixed
 from newsloom.functions.embedding import embed, generate
-from newsloom.functions.rendering import NOTHING_FOUND_TEXT
-from newsloom.plans.answer import answer_questions
+from newsloom.functions.rendering import NOT_FOUND_TEXT, NOTHING_FOUND_TEXT
+from newsloom.plans.answer import answer_questions, retrieve_context
 from newsloom.plans.ingest import NewsTables, articles_from_feeds, ingest_batch
-from newsloom.plans.scratch import new_dir, settle, shared_dir
+from newsloom.scratch import new_dir, settle, shared_dir
 from newsloom.sources.store import BatchStore
 from newsloom.streaming.dedup import dedup_stream
 from newsloom.streaming.ingest import ingest_stream
@@ -136,6 +136,11 @@ def test_answers_take_every_branch(spark):
     assert got[4]["final_answer"] == NOTHING_FOUND_TEXT and got[4]["prompt"] is None
     assert got[5]["final_answer"].startswith("Sorry") and got[6]["final_answer"].startswith("Xin lỗi")
 
+    asked = q.where("q_id in (1, 5)").select(
+        "q_id", embed(F.col("question"), words()).alias("embedding"), F.lit(24).alias("hours"))
+    told = dict(rows(retrieve_context(asked, chunks, as_of=dt.datetime(2024, 1, 31)), "q_id", "context"))
+    assert told[1].startswith("[1] Nguồn: News") and told[5] == NOT_FOUND_TEXT
+
     def label():
         return lambda texts: np.array([" Off_Topic" if "alpha" in t else "?" for t in texts])
 
