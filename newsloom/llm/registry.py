@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import mixing, quality, tokens
+from newsloom.llm import mixing, pii, quality, tokens
 from newsloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def op1_quality_rules(spark, d):
         "base_failed", "kept", "char_distance", "word_distance")
 
 
+@query
+def op3_find_pii(spark, d):
+    return pii.find_pii(table(spark, d, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 @query
 def op5_mix_sources(spark, d):
     return mixing.mix(table(spark, d, "documents")).select(
