@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import mixing, pii, quality, tokens
+from newsloom.llm import jaccard, mixing, pii, quality, tokens
 from newsloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,8 @@ def op5_mix_sources(spark, d):
 def op9_token_counts(spark, d):
     return tokens.count_tokens(table(spark, d, "documents")).select(
         "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op10_jaccard_join(spark, d):
+    return jaccard.similar(table(spark, d, "documents"), size=3, percent=90)
