@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import jaccard, mixing, pii, quality, tokens
+from newsloom.llm import decontaminate, jaccard, mixing, pii, quality, tokens
 from newsloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def op3_find_pii(spark, d):
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+@query
+def op4_decontaminate(spark, d):
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query
 def op5_mix_sources(spark, d):
     return mixing.mix(table(spark, d, "documents")).select(
