@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, jaccard, mixing, pii, quality, tokens, toxicity
+from newsloom.llm import decontaminate, jaccard, mixing, pii, quality, tokens, toxicity, warc
 from newsloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,12 @@ def op5_mix_sources(spark, d):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op7_warc(spark, d):
+    return warc.archive(table(spark, d, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op8_toxicity(spark, d):
     return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")).select(
