@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, jaccard, mixing, pii, quality, tokens, toxicity, warc
+from newsloom.llm import decontaminate, htmltext, jaccard, mixing, pii, quality, tokens, toxicity, warc
 from newsloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_quality_rules(spark, d):
         "base_failed", "kept", "char_distance", "word_distance")
 
 
+@query
+def op2_html_text(spark, d):
+    return htmltext.extract(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op3_find_pii(spark, d):
     return pii.find_pii(table(spark, d, "documents")).select(
