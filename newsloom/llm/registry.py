@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, htmltext, jaccard, mixing, pii, quality, tokens, toxicity, warc
+from newsloom.llm import decontaminate, htmltext, jaccard, licenses, mixing, pii, quality, tokens, toxicity, warc
 from newsloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,11 @@ def op5_mix_sources(spark, d):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op6_license_scan(spark, d):
+    return licenses.scan_licenses(table(spark, d, "documents"))
+
+
 @query
 def op7_warc(spark, d):
     return warc.archive(table(spark, d, "pages")).select(
