@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 # Spaces join the word after them; the model itself puts one before the text.
 PRE_TOKEN = re.compile(r" *[^ ]+| +$")
@@ -43,7 +44,7 @@ def separable(path: str) -> bool:
     and the text reaches the pieces as it is."""
     p = _processor(path)
     pieces = (p.id_to_piece(i) for i in range(p.get_piece_size()))
-    return all("▁" not in piece.lstrip("▁") for piece in pieces) and "".join(
+    return all(MARK not in piece.lstrip(MARK) for piece in pieces) and "".join(
         p.encode("  a  b ", out_type=str)) == "▁▁▁a▁▁b▁"
 
 
@@ -65,7 +66,8 @@ class Counts(dict):
         return n
 
     def of(self, text: str) -> int:
-        return sum(map(self.__getitem__, PRE_TOKEN.findall(" " + text))) if text else 0
+        # The model writes spaces as the mark, so a mark in the text is a space too.
+        return sum(map(self.__getitem__, PRE_TOKEN.findall(" " + text.replace(MARK, " ")))) if text else 0
 
 
 def frequent(docs: DataFrame, path: str) -> dict:
