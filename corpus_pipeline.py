@@ -18,7 +18,9 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; those without words go."""
-    return quality.assess(docs).where("kept").select(docs.columns)
+    # The row travels as a whole, so that no column of its own is taken for one of the verdict's.
+    rows = docs.select(F.struct("*").alias("row"), "text", "lang")
+    return quality.assess(rows).where("kept").select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +29,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     refer to it."""
     found = jaccard.similar(docs, NEAR_WORDS, NEAR_PERCENT)
     heads = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_row", F.row_number().over(
-        Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source"))))
-    return kept.where("_row = 1").select(docs.columns).union(
-        docs.where("doc_id IS NULL"))
+    nth = F.row_number().over(
+        Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source")))
+    kept = docs.join(heads, "doc_id", "left_semi").select(docs["*"], nth.alias("_nth_of_doc"))
+    return kept.where("_nth_of_doc = 1").select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,9 +195,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with n_email, n_ip, n_card, n_phone, base_sha256 (of the four kinds' spans) and spans
     (of all kinds, as kind:start:end); columns of these names are replaced. NULL is read as the
     empty text. Row by row: repeated rows each get their spans, no rows give none."""
-    found = docs.withColumn("_pii", F.pandas_udf(_found, FOUND)("text"))
+    found = docs.withColumn("_found_pii", F.pandas_udf(_found, FOUND)("text"))
     names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
-    return found.withColumns({n: F.col(f"_pii.{n}") for n in names}).drop("_pii")
+    return found.withColumns({n: F.col(f"_found_pii.{n}") for n in names}).drop("_found_pii")
 
 
 def masked(text: Column) -> Column:

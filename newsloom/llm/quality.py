@@ -79,38 +79,38 @@ def _repeated(ws: Column) -> Column:
 
 
 def with_histograms(docs: DataFrame) -> DataFrame:
-    """``_words``, ``_chars`` (counts by CLASSES, the rest last), ``_common`` (counts of the
-    language's common words, all other words last; NULL without a list) and ``_lang``."""
+    """``_q_words``, ``_q_chars`` (counts by CLASSES, the rest last), ``_q_common`` (counts of the
+    language's common words, all other words last; NULL without a list) and ``_q_lang``."""
     text = F.coalesce("text", F.lit(""))
     lang = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(OTHER)
-    out = docs.withColumns({"_text": text, "_words": words(text), "_lang": lang})
-    rest = "_text"
+    out = docs.withColumns({"_q_text": text, "_q_words": words(text), "_q_lang": lang})
+    rest = "_q_text"
     for name, pattern in CLASSES:
-        out = out.withColumn(f"_no_{name}", F.regexp_replace(rest, pattern, ""))
-        rest = f"_no_{name}"
-    left = ["_text", *(f"_no_{name}" for name, _ in CLASSES)]
+        out = out.withColumn(f"_q_no_{name}", F.regexp_replace(rest, pattern, ""))
+        rest = f"_q_no_{name}"
+    left = ["_q_text", *(f"_q_no_{name}" for name, _ in CLASSES)]
     counts = [F.length(a) - F.length(b) for a, b in zip(left, left[1:])] + [F.length(left[-1])]
     listed = F.lit(None).cast("array<string>")
     for code, common in COMMON_WORDS.items():
-        listed = F.when(F.col("_lang") == code, F.array(*map(F.lit, common))).otherwise(listed)
+        listed = F.when(F.col("_q_lang") == code, F.array(*map(F.lit, common))).otherwise(listed)
     longest = max(len(w) for common in COMMON_WORDS.values() for w in common)
 
     def histogram(short: Column) -> Column:
         found = F.transform(listed, lambda w: F.size(short) - F.size(F.array_remove(short, w)))
         others = let(found, lambda f: F.concat(f, F.array(
-            F.size("_words") - F.aggregate(f, F.lit(0), lambda a, x: a + x))))
+            F.size("_q_words") - F.aggregate(f, F.lit(0), lambda a, x: a + x))))
         return others
 
     # Only short words can be common ones; the rest need no comparing.
-    common = let(F.filter("_words", lambda w: F.length(w) <= longest), histogram)
+    common = let(F.filter("_q_words", lambda w: F.length(w) <= longest), histogram)
     return out.withColumns({
-        "_chars": F.array(*counts), "_common": common, "_symbols": counts[-2],
+        "_q_chars": F.array(*counts), "_q_common": common, "_q_symbols": counts[-2],
     }).drop(*left[1:])
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """One row per listed language, and OTHER for all documents together: ``ref_lang``,
-    ``ref_chars``, ``ref_common``, each a sum of shares in 1/SCALE. At most five rows."""
+    """One row per listed language, and OTHER for all documents together: ``_q_ref_lang``,
+    ``_q_ref_chars``, ``_q_ref_common``, each a sum of shares in 1/SCALE. At most five rows."""
     h = with_histograms(docs.select("text", "lang"))
     n_common = len(next(iter(COMMON_WORDS.values()))) + 1
 
@@ -118,24 +118,24 @@ def references(docs: DataFrame) -> DataFrame:
         # The condition stands inside the sums: as a filter it would be pushed below the
         # projections and the histograms computed twice.
         return F.array(*(
-            F.sum(F.expr(f"CASE WHEN _ok THEN ({column}[{i}] * {SCALE}L) div {total} END"))
+            F.sum(F.expr(f"CASE WHEN _q_ok THEN ({column}[{i}] * {SCALE}L) div {total} END"))
             for i in range(width)))
 
-    n, w = F.length("_text"), F.size("_words")
+    n, w = F.length("_q_text"), F.size("_q_words")
     judged = h.select(
-        "_lang", "_chars", "_common", n.alias("_n"), w.alias("_w"),
+        "_q_lang", "_q_chars", "_q_common", n.alias("_q_n"), w.alias("_q_w"),
         ((n >= MIN_CHARS_JUDGED) & (w >= MIN_WORDS)
-         & (100 * F.col("_symbols") <= MAX_REFERENCE_SYMBOL_PERCENT * n)).alias("_ok"),
+         & (100 * F.col("_q_symbols") <= MAX_REFERENCE_SYMBOL_PERCENT * n)).alias("_q_ok"),
     )
-    sums = judged.groupBy("_lang").agg(
-        summed("_chars", len(CLASSES) + 1, "_n").alias("c"),
-        summed("_common", n_common, "_w").alias("w"),
+    sums = judged.groupBy("_q_lang").agg(
+        summed("_q_chars", len(CLASSES) + 1, "_q_n").alias("c"),
+        summed("_q_common", n_common, "_q_w").alias("w"),
     )
     both = sums.withColumn(
-        "ref_lang", F.explode(F.array_distinct(F.array(F.col("_lang"), F.lit(OTHER)))))
+        "_q_ref_lang", F.explode(F.array_distinct(F.array(F.col("_q_lang"), F.lit(OTHER)))))
     add = lambda column, width: F.array(*(F.sum(F.col(column)[i]) for i in range(width)))
-    return both.groupBy("ref_lang").agg(
-        add("c", len(CLASSES) + 1).alias("ref_chars"), add("w", n_common).alias("ref_common"))
+    return both.groupBy("_q_ref_lang").agg(
+        add("c", len(CLASSES) + 1).alias("_q_ref_chars"), add("w", n_common).alias("_q_ref_common"))
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -157,32 +157,33 @@ def assess(docs: DataFrame) -> DataFrame:
     """``docs`` with the base counts, both distances and the verdict ``kept``.
 
     Added columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    char_distance, word_distance, kept; any of these names, and names beginning with an
-    underscore, are replaced in the result. A NULL or empty text has no words and fails the base.
+    char_distance, word_distance, kept; columns of these names are replaced, and those whose names begin with
+    _q_ are left out. A NULL or empty text has no words and fails the base.
     A NULL or unlisted language is compared with the characters of all documents together. Rows
     repeated in ``docs`` are judged each for itself; an empty table gives an empty result.
     """
+    docs = docs.drop(*(c for c in docs.columns if c.startswith("_q_")))
     refs = F.broadcast(references(docs))  # at most five rows
-    lines = F.filter(F.split("_text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    h = with_histograms(docs).withColumn("_lines", lines)
+    lines = F.filter(F.split("_q_text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
+    h = with_histograms(docs).withColumn("_q_lines", lines)
     h = h.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.col("_symbols").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": _repeated(F.col("_words")).cast("long"),
-        "_n": F.length("_text"),
-    }).drop("_text", "_words", "_lines", "_symbols")
+        "n_words": F.size("_q_words").cast("long"),
+        "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
+        "n_symbols": F.col("_q_symbols").cast("long"),
+        "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
+        "n_repeat_words": _repeated(F.col("_q_words")).cast("long"),
+        "_q_n": F.length("_q_text"),
+    }).drop("_q_text", "_q_words", "_q_lines", "_q_symbols")
     h = h.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    j = h.join(refs, F.col("_lang") == F.col("ref_lang"), "left")
+    j = h.join(refs, F.col("_q_lang") == F.col("_q_ref_lang"), "left")
     j = j.withColumns({
-        "char_distance": F.when(F.col("_n") >= MIN_CHARS_JUDGED,
-                                F.round(distance(F.col("_chars"), F.col("ref_chars")), 6)),
+        "char_distance": F.when(F.col("_q_n") >= MIN_CHARS_JUDGED,
+                                F.round(distance(F.col("_q_chars"), F.col("_q_ref_chars")), 6)),
         "word_distance": F.when(F.col("n_words") >= MIN_WORDS_JUDGED,
-                                F.round(distance(F.col("_common"), F.col("ref_common")), 6)),
+                                F.round(distance(F.col("_q_common"), F.col("_q_ref_common")), 6)),
     })
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
         F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return j.withColumn("kept", ~F.col("base_failed") & ~far).drop(
-        "_lang", "_chars", "_common", "_n", "ref_lang", "ref_chars", "ref_common")
+        "_q_lang", "_q_chars", "_q_common", "_q_n", "_q_ref_lang", "_q_ref_chars", "_q_ref_common")

@@ -1,0 +1,54 @@
+import re
+from collections import defaultdict
+
+from newsloom.llm import quality
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def by_hand(text):
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    at = defaultdict(list)
+    for i in range(len(w) - 7):
+        at[tuple(w[i:i + 8])].append(i)
+    covered = {j for p in at.values() if len(p) > 1 for i in p for j in range(i, i + 8)}
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)),
+            len(lines) - len(set(lines)), len(covered))
+
+
+def test_counts_by_hand(spark, odd):
+    one = "a b c d e f g h"
+    texts = [one, f"{one} {one}", f"{one} x {one} y {one}", "a " * 30, "x\nx\n\n \nx y", "#*$%&|<> ok",
+             f"{one} i j k l {one[2:]} i", "a\x0bb\x0cc d"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: tuple(r[c] for c in COUNTS) for r in quality.assess(docs).collect()}
+    assert got == {i: by_hand(t) for i, t in enumerate(texts)}
+
+
+def test_odd_rows(odd, none):
+    got = quality.assess(odd).collect()
+    assert len(got) == odd.count() and all(isinstance(r["kept"], bool) for r in got)
+    assert all(r["base_failed"] and not r["kept"] for r in got if not (r["text"] or "").strip())
+    assert quality.assess(none).collect() == []
+
+
+def test_distance(spark):
+    row = spark.range(1).select(
+        quality.distance(quality.F.array(*map(quality.F.lit, [1, 0])), quality.F.array(*map(quality.F.lit, [0, 5]))),
+        quality.distance(quality.F.array(*map(quality.F.lit, [1, 3])), quality.F.array(*map(quality.F.lit, [2, 6]))),
+        quality.distance(quality.F.array(*map(quality.F.lit, [0, 0])), quality.F.array(*map(quality.F.lit, [2, 6]))),
+    ).first()
+    assert tuple(row) == (1.0, 0.0, None)
+
+
+def test_strange_make_up_is_rejected(spark):
+    plain = ["The rain of the night and a walk to the town is what he saw %d times. " % i * 9 for i in range(40)]
+    plain = [" ".join(f"{w}{'abcdefghij'[(i * 7 + j) % 10]}" if j % 3 else w for j, w in enumerate(t.split()))
+             for i, t in enumerate(plain)]
+    marked = " ".join(w + "###" for w in plain[0].split())
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*plain, marked])],
+                                 "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.assess(docs).where("char_distance <= 0.21").collect()}
+    assert kept == set(range(40))
