@@ -14,7 +14,8 @@ MONTH_PHRASES, MONTH_HOURS = "tháng này|trong tháng", 720
 WEEK_PHRASES, WEEK_HOURS = "tuần này|trong tuần|7 ngày", 168
 DAY_PHRASES, DAY_HOURS = "hôm nay|trong ngày", 24
 DEFAULT_HOURS = 12
-MAX_HOURS = 8760
+# More hours than any date lies back: what a number beyond int stands for.
+ALL_HOURS = 2**31 - 1
 
 # Letters that mark a text as Vietnamese.
 VIETNAMESE_LETTERS = (
@@ -34,20 +35,21 @@ DECLINE_EN = (
 
 
 def time_preference(question: Column) -> Column:
-    """Hours the question wants to look back; the first matching phrase decides. Numbers that
-    do not fit an int count as no number, larger ones are clamped to a year."""
+    """Hours the question wants to look back; the first matching phrase decides. A
+    number that does not fit an int asks for everything."""
     q = F.lower(question)
 
     def number(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(q, pattern, 1), F.lit(""))
 
     asked = F.coalesce(number(r"(?U)trong\s*([0-9]+)\s*giờ"), number(r"(?U)([0-9]+)\s*h\b"))
-    hours = F.coalesce(asked.try_cast("int"), F.lit(DEFAULT_HOURS))
+    hours = F.coalesce(
+        asked.try_cast("int"), F.when(asked.isNotNull(), ALL_HOURS), F.lit(DEFAULT_HOURS))
     return (
         F.when(q.rlike(MONTH_PHRASES), MONTH_HOURS)
         .when(q.rlike(WEEK_PHRASES), WEEK_HOURS)
         .when(q.rlike(DAY_PHRASES), DAY_HOURS)
-        .otherwise(F.least(hours, F.lit(MAX_HOURS)))
+        .otherwise(hours)
     )
 
 

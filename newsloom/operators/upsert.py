@@ -9,8 +9,9 @@ from newsloom.scratch import settle
 
 
 def latest_per_key(rows: DataFrame, key: str, version: str = "batch_id") -> DataFrame:
-    """The row with the highest ``version`` of each key."""
-    return first_per_key(rows, [key], [F.desc(version)])
+    """The row with the highest ``version`` of each key; of several, one that their values alone
+    decide, however the rows are spread."""
+    return first_per_key(rows, [key], [F.desc(version), F.xxhash64(*rows.columns)])
 
 
 def resolve_versions(
@@ -45,13 +46,23 @@ def latest_per_group(
     return kept.select(*rows.columns).unionByName(rows.where(~has_group))
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+def upsert(
+    existing: DataFrame, new: DataFrame, key: str = "chunk_id", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Existing rows replaced by new rows of the same key, other new rows added. Running it
-    again with the same input changes nothing."""
-    both = existing.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-    return latest_per_key(both, key, "_v").drop("_v")
+    again with the same input changes nothing. Of new rows with one key, the values decide which
+    stays. Rows without key are told apart from nothing, so all of them stay. Only keys of ``new``
+    go to the existing rows: few are broadcast and the stored side is not shuffled."""
+    keyed = new.where(F.col(key).isNotNull())
+    keys = settle(keyed.select(F.col(key).alias("_new_key")).distinct())
+    if keys.count() <= broadcast_rows:
+        keys = F.broadcast(keys)
+    kept = existing.join(keys, F.col(key) == F.col("_new_key"), "left_anti")
+    first = first_per_key(keyed, [key], [F.xxhash64(*new.columns)])
+    return kept.unionByName(first).unionByName(new.where(F.col(key).isNull()))
 
 
 def merge_messages(history: DataFrame, new: DataFrame, key: str = "message_id") -> DataFrame:
-    """Append messages to a history; a message whose id is there already replaces the old one."""
+    """Append messages to a history; a message whose id is there already replaces the old one;
+    messages without id are all kept."""
     return upsert(history, new, key)

@@ -28,6 +28,7 @@ class NewsTables:
     articles: BatchStore
     clean: BatchStore
     chunks: BatchStore
+    commits: BatchStore
 
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> "NewsTables":
@@ -35,8 +36,15 @@ class NewsTables:
             BatchStore(spark, f"{root}/articles", schemas.ARTICLES, "url"),
             BatchStore(spark, f"{root}/articles_clean", schemas.ARTICLES, "url"),
             BatchStore(spark, f"{root}/chunks", schemas.EMBEDDED_CHUNKS, "chunk_id"),
+            BatchStore(spark, f"{root}/commits", schemas.COMMITS, "batch"),
         )
 
+    def known(self, batch_id: int) -> DataFrame:
+        """Articles of other batches that were stored to the end. What a failed batch left counts
+        as unknown, so its articles are taken again, by itself or by a later batch."""
+        done = self.commits.versions().select("batch_id").distinct()
+        return self.articles.before(batch_id).join(done, "batch_id", "left_semi")
+
 
 def ingest_batch(
     articles: DataFrame,
@@ -56,7 +64,7 @@ def ingest_batch(
     if on_conflict not in ("keep", "latest"):
         raise ValueError(f"unknown conflict rule {on_conflict!r}")
     if on_conflict == "keep":
-        fresh = ops.new_articles(articles, tables.articles.before(batch_id))
+        fresh = ops.new_articles(articles, tables.known(batch_id))
     else:
         fresh = ops.first_articles(articles)
     n_articles = tables.articles.append(fresh, batch_id)
@@ -65,4 +73,7 @@ def ingest_batch(
     chunks = ops.chunk_articles(tables.clean.batch(batch_id), splitter)
     embedded = chunks.withColumn("embedding", embed(F.col("text"), embedder))
     n_chunks = tables.chunks.append(embedded, batch_id)
+    # Written last: a batch without this mark is not known to later ones.
+    spark = articles.sparkSession
+    tables.commits.append(spark.createDataFrame([(int(batch_id),)], schemas.COMMITS), batch_id)
     return {"articles": n_articles, "clean": n_clean, "chunks": n_chunks}

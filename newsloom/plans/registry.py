@@ -21,7 +21,7 @@ from newsloom.sources import articles as article_source
 from newsloom.sources import feeds as feed_source
 from newsloom.sources.store import BatchStore
 from newsloom import schemas
-from newsloom.streaming.dedup import dedup_stream
+from newsloom.streaming.dedup import dedup_to_store
 from newsloom.streaming.ingest import ingest_stream
 from newsloom.streaming.sessions import SessionMemory
 
@@ -683,14 +683,25 @@ def stream_dedup(spark, d):
             .parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
         )
 
-    unique = dedup_stream(source().union(source()), ["event_id"], "ts", delay="60 days")
-    run = (
-        unique.select("event_id", "event_type", "user_id", "value").writeStream.format("parquet")
-        .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True)
-        .start(f"{root}/out")
-    )
-    run.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    dedup_to_store(
+        source().union(source()), ["event_id"], ["ts"], f"{root}/out", f"{root}/progress",
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "event_type", "user_id", "value")
+
+
+@query
+def stream_dedup_late(spark, d):
+    """The later half of the events lands first, then all of them: the other half comes days late."""
+    root = new_dir(spark, "stream-late")
+    events = inputs.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    middle = events.agg(F.percentile_approx(F.unix_timestamp("ts"), 0.5)).first()[0]
+    for part in (events.where(F.unix_timestamp("ts") > middle), events):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{root}/landing")
+    dedup_to_store(
+        stream, ["event_id"], ["ts"], f"{root}/out", f"{root}/progress").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "event_type", "user_id", "value")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from string import ascii_lowercase, ascii_uppercase
 
-from newsloom.functions.questions import DECLINE_EN, DECLINE_VI, VIETNAMESE_LETTERS
+from newsloom.functions.questions import ALL_HOURS, DECLINE_EN, DECLINE_VI, VIETNAMESE_LETTERS
 from newsloom.functions.rendering import (
     LOOKUP_REQUEST, NEWS_REQUEST, NOTHING_FOUND_TEXT, NOT_FOUND_TEXT, OLD_NOTE,
 )
@@ -92,7 +92,7 @@ def _hours(q: str) -> str:
         f"CASE WHEN regexp_matches({q}, 'tháng này|trong tháng') THEN 720 "
         f"WHEN regexp_matches({q}, 'tuần này|trong tuần|7 ngày') THEN 168 "
         f"WHEN regexp_matches({q}, 'hôm nay|trong ngày') THEN 24 "
-        f"ELSE least(coalesce(TRY_CAST(coalesce(nullif({a}, ''), nullif({b}, '')) AS INT), 12), 8760) END"
+        f"ELSE coalesce(least(TRY_CAST(coalesce(nullif({a}, ''), nullif({b}, '')) AS HUGEINT), {ALL_HOURS})::INT, 12) END"
     )
 
 
@@ -532,6 +532,7 @@ FROM ({_chunks('content', "(SELECT * FROM before WHERE url NOT IN (SELECT url FR
         ARTICLES.replace("text AS content", _spaces("text") + " AS content"), CHUNKS
     )
     + f"SELECT {STORED} FROM chunks",
+    "stream_dedup_late": "SELECT event_id, event_type, user_id, value FROM events",
     "stream_dedup": "SELECT event_id, event_type, user_id, value FROM events",
     "stream_sessions": f"SELECT conv_id, turn, {HISTORY} AS history FROM conversations",
 }

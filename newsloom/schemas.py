@@ -34,3 +34,4 @@ ANSWER_LOG = _table(
     crawl_count=INT, crawl_history=T.ArrayType(STRING), docs_found_count=INT,
     final_answer=STRING, messages=MESSAGES,
 )
+COMMITS = _table(batch=BIGINT)

@@ -9,11 +9,17 @@ _local: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one only where the
-    setting is missing, as in tests."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir`` or the context's checkpoint folder.
+    Where neither is set, a local folder, but only if all work runs on this machine, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if checkpoints.isDefined():
+        return checkpoints.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _local
     if _local is None:
         _local = tempfile.mkdtemp(prefix="newsloom-")

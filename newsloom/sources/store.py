@@ -21,17 +21,11 @@ class BatchStore:
         self.key = key
 
     def append(self, rows: DataFrame, batch_id: int) -> int:
-        """Write a batch and return its row count, counted during the write. An empty batch
-        leaves no files."""
+        """Write a batch and return its row count, counted during the write. What the batch held
+        before is replaced, also by no rows."""
         seen = Observation()
         counted = rows.select(*self.schema.names).observe(seen, F.count(F.lit(1)).alias("n"))
-        (
-            counted.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(self.path)
-        )
+        counted.write.mode("overwrite").parquet(f"{self.path}/batch_id={int(batch_id)}")
         return int(seen.get["n"])
 
     def versions(self) -> DataFrame:

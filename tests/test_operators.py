@@ -408,3 +408,28 @@ def test_only_keys(spark, broadcast_rows):
     wanted = spark.createDataFrame([(1,), (1,), (9,)], "k bigint")
     got = skew.only_keys(big, wanted, ["k"], broadcast_rows=broadcast_rows)
     assert rows(got, "id") == sorted(((i,) for i in range(30) if i % 3 == 1), key=repr)
+
+
+def test_upsert_with_repeated_and_missing_keys(spark):
+    old = spark.createDataFrame([("a", 1), (None, 2), (None, 2)], "k string, v int")
+    new = spark.createDataFrame([("a", 3), ("a", 4), ("b", 5), ("b", 6), (None, 7)], "k string, v int")
+    want = None
+    for parts in (1, 3, 7):
+        for limit in (0, 100):
+            got = sorted(map(str, upsert.upsert(old, new.repartition(parts), "k", limit).collect()))
+            assert len(got) == 5 and sum("None" in r for r in got) == 3
+            want = want or got
+            assert got == want
+
+
+def test_a_batch_is_replaced_by_no_rows(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from newsloom.sources.store import BatchStore
+
+    schema = T.StructType([T.StructField("k", T.StringType())])
+    store = BatchStore(spark, str(tmp_path / "s"), schema, "k")
+    rows = spark.createDataFrame([("a",), ("b",)], schema)
+    assert store.append(rows, 1) == 2 and store.append(rows, 2) == 2
+    assert store.append(rows.where("false"), 1) == 0
+    assert store.versions().where("batch_id = 1").count() == 0 and store.versions().count() == 2

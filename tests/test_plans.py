@@ -215,3 +215,27 @@ def test_scratch_follows_the_cluster_setting(spark):
         assert shared_dir(spark) == configured.rstrip("/")
     assert new_dir(spark, "x") != new_dir(spark, "x")
     assert settle(spark.range(3)).count() == 3
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    from newsloom.streaming.dedup import dedup_to_store
+
+    for i, rows in enumerate([[("a", "2024-06-01"), (None, "2024-06-01")], [("a", "2024-06-02"), ("b", "2020-01-01"), ("b", "2019-01-01")]]):
+        spark.createDataFrame(rows, "k string, ts string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    dedup_to_store(stream, ["k"], ["ts"], str(tmp_path / "out"), str(tmp_path / "at")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("k", "ts").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", "2024-06-01"), ("b", "2019-01-01"), (None, "2024-06-01")]
+
+
+def test_articles_of_a_failed_batch_are_taken_again(spark, tmp_path):
+
+
+    tables = NewsTables.at(spark, str(tmp_path / "t"))
+    articles = spark.createDataFrame([("u1", "t", "01/02/2024", "body " * 30, 1)], schemas.ARTICLES)
+    failing = chunk_fixed(F.raise_error(F.lit("no splitter today")).cast("string"))
+    with pytest.raises(Exception, match="no splitter today"):
+        ingest_batch(articles, tables, 1, splitter=failing)
+    assert ingest_batch(articles, tables, 2)["articles"] == 1
+    assert ingest_batch(articles, tables, 3) == {"articles": 0, "clean": 0, "chunks": 0}
+    assert tables.chunks.current().count() > 0

@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest tables, plus what the plans must show."""
 
+import re
 import sys
 from pathlib import Path
 
@@ -23,13 +24,15 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(
+    n for n in entry.queries() if n in entry.oracle_sql() or not re.match(r"op\d+_|pipeline$", n)))
 def test_query_matches_its_sql(spark, con, name):
     assert compare(spark, con, name, SF_DIR)[2] is None
 
 
 def test_only_the_recursive_splitter_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"chunk_recursive"}
+    own = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)}
+    assert own - set(entry.oracle_sql()) == {"chunk_recursive"}
 
 
 def test_recursive_chunks_of_the_documents(spark):
