@@ -55,7 +55,7 @@ def time_preference(question: Column) -> Column:
 
 def extract_feed_url(question: Column) -> Column:
     """The first ``.rss`` address in the question, else NULL."""
-    return F.nullif(F.regexp_extract(question, r"(?i)https?://\S+\.rss\b", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(question, r"(?iU)https?://\S+\.rss\b", 0), F.lit(""))
 
 
 def detect_language(

@@ -7,7 +7,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1024
+from newsloom.scratch import settle
+
+MOST_SALTS = 65_536
 HOT_ROWS = 100_000
 BROADCAST_ROWS = 200_000
 
@@ -33,18 +35,14 @@ def only_keys(
     return big.join(distinct, list(keys), "left_semi")
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], *, at_most: int = HOT_KEYS, min_rows: int = HOT_ROWS
-) -> DataFrame | None:
-    """The fullest keys with more than ``min_rows`` rows as a local table, None without any. Only
-    ``at_most`` come back, which bounds what the driver and a broadcast hold; any other key has
-    less than one row in ``at_most`` of the table. Counts are combined before the shuffle."""
+def hot_keys(df: DataFrame, keys: Sequence[str], *, min_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys with more than ``min_rows`` rows and in how many parts (``_salts``) their rows must be
+    cut to hold no more than that each; None without any. There is at most one such key for
+    every ``min_rows`` rows of the table. Counts are combined before the shuffle."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > min_rows)
-    fullest = counts.orderBy(F.desc("_n")).limit(at_most).select(*keys)
-    rows = fullest.collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, fullest.schema).withColumn("_hot", F.lit(True))
+    parts = F.least(F.ceil(F.col("_n") / min_rows), F.lit(MOST_SALTS)).cast("int")
+    hot = settle(counts.select(*keys, parts.alias("_salts")))
+    return None if hot.isEmpty() else hot
 
 
 def salted_join(
@@ -54,24 +52,23 @@ def salted_join(
     *,
     salt_by: Sequence[str],
     how: str = "inner",
-    salts: int = 32,
+    broadcast_rows: int = BROADCAST_ROWS,
     **hot_options,
 ) -> DataFrame:
     """Join a side that may have hot keys (``left``, an inner or left join) to a side with unique
-    keys. Counts the left keys first: without hot ones it is a plain join. Otherwise rows of hot
-    keys spread over ``salts`` partitions by the hash of ``salt_by`` and the matching right rows
-    are copied once per salt. Rows with a NULL key match nothing and are spread too."""
+    keys. Counts the left keys first: without hot ones it is a plain join. Otherwise rows of a
+    hot key are cut in as many parts as its count asks for, by the hash of ``salt_by``, and the
+    matching right rows are copied once per part. Rows with a NULL key match nothing and are spread too."""
     hot = hot_keys(left, keys, **hot_options)
     if hot is None:
         return left.join(right, list(keys), how)
+    if hot.count() <= broadcast_rows:
+        hot = F.broadcast(hot)
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
-    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    spread = left.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(0)
-    )
-    copies = right.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    joined = spread.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"], how)
+    spread = left.join(hot, list(keys), "left").withColumn("_salt", F.pmod(
+        F.xxhash64(*salt_by), F.when(no_key, MOST_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
+    ).cast("int"))
+    copies = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(
+        F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    joined = spread.drop("_salts").join(copies.drop("_salts"), [*keys, "_salt"], how)
     return joined.drop("_salt")

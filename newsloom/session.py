@@ -11,6 +11,10 @@ SETTINGS = {
     # Long texts and wide vectors cross to Python in batches; keep them small enough
     # that one batch of long documents fits beside the JVM heap.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    # Streaming state beyond the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Recording the Python call site of every column expression costs more than building it.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

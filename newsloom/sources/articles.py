@@ -15,16 +15,25 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages from one HTML file each; the file's path stands for its url."""
+    """Landed pages from one HTML file each: ``page_id`` is a hash of the file's path, ``url`` what
+    the page names as its canonical address, else the path."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
+    link = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+    named = F.nullif(F.regexp_extract("value", link, 1), F.lit(""))
+    file = F.col("_metadata.file_path")
+    return files.select(
+        F.xxhash64(file).alias("page_id"), F.coalesce(named, file).alias("url"),
+        F.col("value").alias("html"))
 
 
-def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
-    """Articles from files that each hold one JSON array of records. A missing file, malformed
+def read_articles_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Articles from files that each hold one JSON array of records, or with ``lines`` one record a
+    line, as ``write_articles`` writes them. A missing file, malformed
     text and a top level that is no array all give no rows."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schemas.ARTICLE_RECORD)
+    if lines:
+        return spark.read.schema(schemas.ARTICLE_RECORD).json(path)
     files = spark.read.text(path, wholetext=True)
     return parse_articles_json(files, "value").drop("pos")
 
@@ -50,5 +59,6 @@ def newest_first(articles: DataFrame) -> DataFrame:
 
 
 def write_articles(articles: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a full, newest-first copy. ``path`` must be new or not be read by ``articles``."""
-    newest_first(articles).write.mode("overwrite").format(fmt).save(path)
+    """Write a full, newest-first copy. ``path`` must be new or not be read by ``articles``. JSON has
+    one record a line."""
+    newest_first(articles).drop("local_ts").write.mode("overwrite").format(fmt).save(path)

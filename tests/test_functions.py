@@ -241,3 +241,33 @@ def test_as_of_is_explicit(spark):
     at = dt.datetime(2024, 1, 31)
     assert spark.range(1).select(F.date_format(as_time(at), "yyyy-MM-dd")).first()[0] == "2024-01-31"
     assert spark.range(1).select(as_time(None).isNotNull()).first()[0]
+
+
+def test_markup_of_all_kinds(one):
+    from newsloom.functions import html
+
+    nested = "<body>x<article>one<article>inner</article>two</article><p>gap</p><article>three</article>y</body>"
+    quoted = "<article>a<div class='x ad'>no</div><div class=ad>no</div><form>b</form></article>"
+    assert one(html.main_text, [nested, quoted]) == ["oneinnertwo\ngap\nthree", "ab"]
+    assert one(html.date_text, ["<span class='date'>1</span>", "<span class=date>2</span>", '<span id=a class="x date">3</span>',
+                                "<span class=dates>4</span>"]) == ["1", "2", "3", ""]
+    assert one(html.unescape, ["&OElig;&Scaron;&#150;&#x80;&apos;&nope;"]) == ["ŒŠ–€'&nope;"]
+
+
+def test_page_files_and_json_lines(spark, tmp_path):
+    from newsloom import schemas
+    from newsloom.operators.ingest import extract_pages
+    from newsloom.sources import articles
+
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "a.html").write_text(
+        "<head><link href='http://x/a' rel='canonical'><title>T</title></head><article>body</article>")
+    (tmp_path / "pages" / "b.html").write_text("<article>other</article>")
+    pages = articles.read_page_files(spark, str(tmp_path / "pages"))
+    got = {r["url"].rsplit("/", 1)[1]: r for r in extract_pages(pages).collect()}
+    assert got["a"]["url"] == "http://x/a" and got["a"]["content"] == "body" and "b.html" in got
+
+    table = spark.createDataFrame([("u1", "t\n1", "01/02/2024, 10:00", "c", 1), ("u2", "t2", None, "d", 2)], schemas.ARTICLES)
+    articles.write_articles(table, str(tmp_path / "json"), "json")
+    back = articles.read_articles_json(spark, str(tmp_path / "json"), lines=True)
+    assert sorted(r["title"] for r in back.collect()) == ["t\n1", "t2"]

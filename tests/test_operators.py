@@ -176,8 +176,8 @@ def test_text_joins_either_way(spark, broadcast_rows):
 # --- skew ------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_join(spark, how):
+@pytest.mark.parametrize("how, limit", [("inner", 0), ("left", 0), ("left", 100)])
+def test_salted_join_equals_join(spark, how, limit):
     left = spark.createDataFrame(
         [(i, None if i % 10 == 0 else "hot" if i % 3 else f"k{i % 7}") for i in range(300)],
         "id bigint, k string")
@@ -185,10 +185,10 @@ def test_salted_join_equals_join(spark, how):
     plain = rows(left.join(right, "k", how), "id", "k", "v")
     assert rows(skew.salted_join(left, right, ["k"], salt_by=["id"], how=how), "id", "k", "v") == plain
     salted = skew.salted_join(
-        left, right, ["k"], salt_by=["id"], how=how, salts=4, min_rows=50)
+        left, right, ["k"], salt_by=["id"], how=how, min_rows=50, broadcast_rows=limit)
     assert rows(salted, "id", "k", "v") == plain
     hot = skew.hot_keys(left, ["k"], min_rows=50)
-    assert rows(hot, "k") == [("hot",)]
+    assert rows(hot, "k", "_salts") == [("hot", 4)]
     assert skew.hot_keys(left, ["k"]) is None
 
 
