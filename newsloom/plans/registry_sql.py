@@ -88,11 +88,12 @@ QUESTIONS = (
 def _hours(q: str) -> str:
     q = f"lower({q})"
     a, b = rf"regexp_extract({q}, 'trong\s*([0-9]+)\s*giờ', 1)", rf"regexp_extract({q}, '([0-9]+)\s*h\b', 1)"
+    n = f"coalesce(nullif({a}, ''), nullif({b}, ''))"
     return (
         f"CASE WHEN regexp_matches({q}, 'tháng này|trong tháng') THEN 720 "
         f"WHEN regexp_matches({q}, 'tuần này|trong tuần|7 ngày') THEN 168 "
         f"WHEN regexp_matches({q}, 'hôm nay|trong ngày') THEN 24 "
-        f"ELSE coalesce(least(TRY_CAST(coalesce(nullif({a}, ''), nullif({b}, '')) AS HUGEINT), {ALL_HOURS})::INT, 12) END"
+        f"ELSE coalesce(TRY_CAST({n} AS INT), CASE WHEN {n} IS NULL THEN 12 ELSE {ALL_HOURS} END) END"
     )
 
 
