@@ -8,14 +8,14 @@ Two documents link when their sets of word shingles overlap by at least ``percen
    size n, at most d = n * (100 - percent) / percent hashes are in one set only. So when the hashes
    are dealt into more than d segments, linked sets have segments in common; a block is one segment
    with all its hashes. Sizes come in levels, each with its own number of segments, and a set also
-   goes to the level below if a smaller partner may be there. Very small sets use single hashes
-   instead, as many of the smallest as a partner cannot lack.
-3. Blocks are the roots of signature trees. Below a root stand nodes, one for each component found
-   so far, then leaves, then documents. All carry an OR-combined bitmap of their hashes and a range
-   of sizes. In a first pass each document of a block is compared with the block's smallest one,
-   which joins groups of near copies at once. In a second pass, trees that still hold several
-   components are walked from both sides: pairs of nodes, of leaves and of documents are dropped as
-   soon as their bitmaps and sizes leave too small a maximum overlap.
+   goes to the level below if a smaller partner may be there. Of small sets, with d up to TINY_LOSS,
+   single segments would say too little: their blocks are all choices of d segments to leave out.
+3. Blocks are the roots of signature trees. Below a root stand leaves of documents that are in one
+   component and share their smallest hashes. Leaves and documents carry an OR-combined bitmap of
+   their hashes and a range of sizes. In a first pass each document of a block is compared with
+   one pivot, which joins groups of near copies at once. In a second pass, trees that still hold
+   several components are walked from both sides: pairs of leaves, then of documents, are dropped
+   as soon as their bitmaps and sizes leave too small a maximum overlap.
 4. Pairs that remain are decided on their whole sets. Documents of one component need no further
    comparing, so a group of copies costs its size and not its square.
 
@@ -25,6 +25,7 @@ share none of 64 is below 1e-11, of the order of two texts having one fingerprin
 """
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,11 @@ from newsloom.llm.components import components
 from newsloom.scratch import settle
 
 MAX_SEGMENTS = 64
-SPARE_SEGMENTS = 8
-TINY = 16
+SPARE_SEGMENTS = 2
+TINY_LOSS = 4
 LEVEL_RATIO = 1.5
-BITMAP_LONGS = 8
-LEAF = 64
+BITMAP_LONGS = 16
+LEAF_HASHES = 24
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -65,16 +66,36 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def loss(size: int, percent: int) -> int:
+    """How many hashes two linked sets can have in one of them only, the smaller being of this size."""
+    return size * (100 - percent) // percent
+
+
+def tiny(percent: int) -> int:
+    """The largest size with a loss of at most TINY_LOSS."""
+    return ((TINY_LOSS + 1) * percent - 1) // (100 - percent)
+
+
 def levels(percent: int) -> list[tuple[int, int]]:
     """(smallest size, number of segments) of each level, up to sets of some billion hashes."""
-    out, low = [], TINY + 1
+    out, low = [], tiny(percent) + 1
     while low < 2**32:
         high = int(np.ceil(low * LEVEL_RATIO))
-        out.append((low, (high - 1) * (100 - percent) // percent + 1 + SPARE_SEGMENTS))
+        out.append((low, loss(high - 1, percent) + 1 + SPARE_SEGMENTS))
         low = high
     return out
 
 
+def _choices(values: np.ndarray, lost: int) -> np.ndarray:
+    """Keys of a small set: its hashes in all but ``lost`` segments, for every choice of these."""
+    n = lost + 4
+    sums = np.zeros(n, np.uint64)
+    np.add.at(sums, (_mix(values, 10 + lost) % np.uint64(n)).astype(np.int64), _mix(values, 2))
+    placed = _mix(sums ^ _mix(np.arange(n, dtype=np.uint64), 20 + lost), 7)
+    kept = np.array(list(combinations(range(n), n - lost)))
+    return _mix(placed[kept].sum(axis=1), 8)
+
+
 def block_keys(values: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndarray]:
     """The block keys of each set; ``values`` holds all sets' hashes one after another."""
     known = levels(percent)
@@ -106,14 +127,13 @@ def block_keys(values: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.n
         below = (level == at) & (partner < lows[at])
         if at > 0 and below.any():
             write(at - 1, below)
-    # A tiny set and its partner share one of their smallest hashes.
-    tiny = np.flatnonzero((sizes > 0) & (partner <= TINY))
     starts = np.cumsum(sizes) - sizes
-    for i in tiny:
-        n = sizes[i]
-        few = values[starts[i]:starts[i] + n - (n * percent + 99) // 100 + 1]
-        rows.append(np.full(len(few), i))
-        keys.append(_mix(few, 5))
+    for i in np.flatnonzero((sizes > 0) & (partner <= tiny(percent))):
+        n = min(int(sizes[i]), tiny(percent))
+        for lost in range(max(1, loss(int(partner[i]), percent)), loss(n, percent) + 1):
+            found = _choices(values[starts[i]:starts[i] + sizes[i]], lost)
+            rows.append(np.full(len(found), i))
+            keys.append(found)
     if not rows:
         return [np.zeros(0, np.int64)] * len(sizes)
     rows, keys = np.concatenate(rows), np.concatenate(keys)
@@ -136,23 +156,24 @@ def _signer(percent: int):
             ids, sets = batch.column("doc_id"), batch.column("hashes")
             sizes = np.diff(sets.offsets.to_numpy())
             values = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            # Sets are sorted as signed numbers, so "smallest" means the same in every set.
             keys = block_keys(values, sizes, percent)
             bits = bitmaps(values, sizes)
+            low = [int(_mix(values[at:at + min(n, LEAF_HASHES)], 9).sum().view(np.int64))
+                   for at, n in zip(np.cumsum(sizes) - sizes, sizes)]
             offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [ids, batch.column("n"), batch.column("f1"), batch.column("f2"),
-                 *(pa.array(bits[:, j]) for j in range(BITMAP_LONGS)),
+                 *(pa.array(bits[:, j]) for j in range(BITMAP_LONGS)), pa.array(low, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n", "f1", "f2", *BITS, "keys"])
+                names=["doc_id", "n", "f1", "f2", *BITS, "leaf", "keys"])
 
     return sign
 
 
 BITS = [f"b{j}" for j in range(BITMAP_LONGS)]
 SIGNED = ("doc_id long, n int, f1 long, f2 long, "
-          + ", ".join(f"{b} long" for b in BITS) + ", keys array<long>")
+          + ", ".join(f"{b} long" for b in BITS) + ", leaf long, keys array<long>")
 
 
 def _set_bits(columns: list[Column]) -> Column:
@@ -163,15 +184,13 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     """Whether two nodes (or documents) may hold a linked pair. A node has the OR of its sets'
     bitmaps, its smallest size, largest size and largest number of hashes that share a bit. Of a
     set's hashes at most those shared bits, and one for each bit both sides have, are in common."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    common = _set_bits([c(a, x).bitwiseAND(c(b, x)) for x in BITS])
-    most = F.least(
-        F.least(c(a, "most"), c(a, "spare") + common), F.least(c(b, "most"), c(b, "spare") + common))
-    least_union = c(a, "fewest") + c(b, "fewest") - most
-    return (
-        (100 * c(a, "most") >= percent * c(b, "fewest"))
-        & (100 * c(b, "most") >= percent * c(a, "fewest"))
-        & (100 * most >= percent * least_union))
+    c = lambda name: (F.col(f"{a}.{name}"), F.col(f"{b}.{name}"))
+    common = _set_bits([x.bitwiseAND(y) for x, y in map(c, BITS)])
+    sizes = percent * sum(c("fewest")[1:], c("fewest")[0])
+    # Overlap over union is at least percent when (100 + percent) * overlap >= percent * both sizes.
+    # The bitmaps stand in the condition once: it runs for every pair of nodes under a root.
+    return ((100 + percent) * F.least(*c("most")) >= sizes) & (
+        (100 + percent) * (common + F.least(*c("spare"))) >= sizes)
 
 
 def _nodes(rows: DataFrame, *keys: str) -> DataFrame:
@@ -214,17 +233,20 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         "left_semi").drop("f1", "f2"))
     shape = heads.select(
         F.col("doc_id").alias("id"), *BITS, F.col("n").alias("fewest"), F.col("n").alias("most"),
-        (F.col("n") - _set_bits([F.col(x) for x in BITS])).alias("spare"))
+        (F.col("n") - _set_bits([F.col(x) for x in BITS])).alias("spare"), "leaf")
     entries = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    roots = settle(entries.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("m"))
-                   .where("m > 1").drop("m"))
+    # A pivot of its own for each block: the blocks of one group have many pivots between them.
+    roots = settle(entries.groupBy("key").agg(
+        F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot"), F.count("*").alias("m"),
+    ).where("m > 1").drop("m"))
     blocks = settle(entries.join(roots, "key"))
 
-    # First pass: each document of a block against the block's smallest.
-    stars = settle(blocks.where("id > head").select("id", "head").distinct())
-    seen = stars.join(shape.alias("a"), F.col("a.id") == stars.id).join(
-        shape.alias("b"), F.col("b.id") == stars["head"]).where(_may_link("a", "b", percent)).select(
-        stars.id.alias("a"), stars["head"].alias("b"))
+    # First pass: each document of a block against the block's pivot.
+    stars = settle(blocks.where("id <> pivot").select(
+        F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    seen = stars.alias("s").join(shape.alias("a"), F.col("a.id") == F.col("s.a")).join(
+        shape.alias("b"), F.col("b.id") == F.col("s.b")).where(_may_link("a", "b", percent)).select(
+        "s.a", "s.b")
     links = _linked(seen, docs, size, percent)
     labels = components(links)
 
@@ -233,23 +255,23 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         "label", F.coalesce("label", "id")))
     open_roots = settle(placed.groupBy("key").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-    rows = settle(placed.join(open_roots, "key").join(shape, "id").withColumn(
-        "leaf", F.floor(F.log(F.col("fewest") + 1.0) / F.log(F.lit(1.05))).cast("int") * LEAF
-        + F.pmod(F.hash("id"), F.lit(LEAF))))
-    nodes, leaves = settle(_nodes(rows, "key", "label")), settle(_nodes(rows, "key", "label", "leaf"))
-    node_pairs = settle(nodes.alias("a").join(nodes.alias("b"), "key").where(
-        (F.col("a.label") < F.col("b.label")) & _may_link("a", "b", percent)).select(
-        "key", F.col("a.label").alias("la"), F.col("b.label").alias("lb")))
-    leaf_pairs = settle(node_pairs.join(
-        leaves.alias("a"), (F.col("a.key") == node_pairs.key) & (F.col("a.label") == F.col("la"))).join(
-        leaves.alias("b"), (F.col("b.key") == node_pairs.key) & (F.col("b.label") == F.col("lb"))).where(
-        _may_link("a", "b", percent)).select(
-        node_pairs.key, "la", "lb", F.col("a.leaf").alias("fa"), F.col("b.leaf").alias("fb")))
-    apart = leaf_pairs.join(rows.alias("a"), (F.col("a.key") == leaf_pairs.key)
-                            & (F.col("a.label") == F.col("la")) & (F.col("a.leaf") == F.col("fa"))).join(
-        rows.alias("b"), (F.col("b.key") == leaf_pairs.key) & (F.col("b.label") == F.col("lb"))
-        & (F.col("b.leaf") == F.col("fb"))).where(_may_link("a", "b", percent)).select(
-        F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    inner = settle(placed.join(open_roots, "key").join(shape.select("id", "leaf"), "id"))
+    hosts = settle(inner.select("id", "label").distinct().join(shape, "id"))
+    leaves = settle(_nodes(hosts, "label", "leaf"))
+    under = settle(inner.select("key", "label", "leaf").distinct().join(leaves, ["label", "leaf"]))
+    # A pair of leaves may meet under several roots and is walked down once, one side after the other.
+    node = F.struct(*(F.col(f"b.{x}") for x in (*BITS, "fewest", "most", "spare"))).alias("node")
+    pairs = settle(under.alias("a").join(
+        under.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
+        & _may_link("a", "b", percent)).select(
+        F.col("a.label").alias("la"), F.col("a.leaf").alias("fa"),
+        F.col("b.label").alias("lb"), F.col("b.leaf").alias("fb"), node).distinct())
+    inside = lambda side, x, y: (
+        (F.col(f"{side}.label") == F.col(f"p.{x}")) & (F.col(f"{side}.leaf") == F.col(f"p.{y}")))
+    apart = pairs.alias("p").join(
+        hosts.alias("a"), inside("a", "la", "fa") & _may_link("a", "p.node", percent)).join(
+        hosts.alias("b"), inside("b", "lb", "fb") & _may_link("a", "b", percent)).select(
+        F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
     more = _linked(apart, docs, size, percent)
     labels = components(links.union(more))
 
