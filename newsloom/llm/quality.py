@@ -139,7 +139,8 @@ def references(docs: DataFrame) -> DataFrame:
 
 
 def distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two histograms; NULL when either is NULL or all zero."""
+    """Jensen-Shannon distance of two histograms; NULL when either is NULL; one that is all
+    zero counts as equal to any."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0)))
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 

@@ -40,7 +40,7 @@ def test_distance(spark):
         quality.distance(quality.F.array(*map(quality.F.lit, [1, 3])), quality.F.array(*map(quality.F.lit, [2, 6]))),
         quality.distance(quality.F.array(*map(quality.F.lit, [0, 0])), quality.F.array(*map(quality.F.lit, [2, 6]))),
     ).first()
-    assert tuple(row) == (1.0, 0.0, None)
+    assert tuple(row) == (1.0, 0.0, 0.0)
 
 
 def test_strange_make_up_is_rejected(spark):
