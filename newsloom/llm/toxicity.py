@@ -142,16 +142,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w), 0.0), float(b)
 
 
+def fit_sample(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of about FIT_DOCS labelled documents of each class, dealt by a hash of the id."""
+    known = labels.select("doc_id", "toxic").where("toxic IN (0, 1) AND doc_id IS NOT NULL").distinct()
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    dealt = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
+    share = lambda c: min(1.0, FIT_DOCS / max(1, sizes.get(c, 0)))
+    return known.where(dealt < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
+
+
 def fit(labelled: DataFrame) -> Model:
     """A model from rows (doc_id, text, toxic 0 or 1). Documents and tokens are counted in Spark;
     what comes to the driver is the terms kept and about FIT_DOCS / CALIBRATE evidence sums per class."""
     rows = labelled.where("toxic IN (0, 1) AND text IS NOT NULL").select("doc_id", "text", "toxic")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, FIT_DOCS / max(1, sizes.get(1, 0)))).otherwise(
-        min(1.0, FIT_DOCS / max(1, sizes.get(0, 0))))
-    dealt = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     part = F.pmod(F.xxhash64(F.lit(9), F.col("doc_id")), F.lit(CALIBRATE))
-    rows = settle(rows.where(dealt < share).withColumn("part", part))
+    rows = settle(rows.withColumn("part", part))
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     words = rows.where("part > 0").select("toxic", F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
     by_word = words.groupBy("word").agg(
@@ -232,9 +238,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty texts have no evidence and get the lowest score. A label of NULL is none; rows repeated in
     ``docs`` are scored each. Without labelled rows every text gets one score.
     """
-    # Few rows carry a label and the ids alone decide, so texts of others are not shuffled.
-    known = labels.where(~held_out()).select("doc_id", "toxic").where("toxic IS NOT NULL").distinct()
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    # The sample is bounded by FIT_DOCS, so its ids are broadcast and no text is shuffled.
+    sample = F.broadcast(fit_sample(labels.where(~held_out())))
+    model = fit(docs.select("doc_id", "text").join(sample, "doc_id"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(
         "doc_id", held_out().alias("held_out"),
