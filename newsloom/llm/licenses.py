@@ -7,9 +7,14 @@ window that holds a template whole has at least MIN_JACCARD of its shingles in c
 is missed with a probability below (1 - MIN_JACCARD) ** BANDS, 2e-8. A template counts as found in a
 window that holds at least MIN_CONTAINED of its shingles. Windows without a single shingle of any
 template cannot agree in a minimum, and are not hashed.
+
+Of a template that is found, every run of its shingles no longer than its windows that holds enough
+of them is a possible place. Shingles in the notice's own order count for a run and words between
+them against it, so a run stops at the end of its notice and does not reach into the next one.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -23,6 +28,9 @@ SHINGLE = 3
 BANDS = 64
 MIN_JACCARD = 0.24
 MIN_CONTAINED = 0.8
+# What a shingle that is foreign or out of order takes from a run, in shingles of the notice; a word put
+# into a notice makes three foreign ones, which one shingle behind them outweighs.
+FOREIGN = 0.25
 LENGTHS = (8, 16, 32, 64, 128, 256, 512)
 
 # Notices by which works state their license (license, notice).
@@ -74,15 +82,20 @@ class Scanner:
         self.hashes = _Hashes()
         r = np.random.default_rng(5)
         self.factors = r.integers(1, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.names, self.sets, self.by_length, self.bands = [], [], {}, {}
+        self.names, self.sets, self.orders, self.by_length, self.bands = [], [], [], {}, {}
         for name, notice in templates:
             ws = WORD.findall(notice.lower())
-            shingles = np.unique(self._shingles(ws))
+            ordered = self._shingles(ws)
+            shingles = np.unique(ordered)
             if not len(shingles):
                 continue
             k = len(self.names)
             self.names.append(name)
             self.sets.append(shingles)
+            order: dict[int, list[int]] = {}  # where a shingle stands in the notice, last place first
+            for j in range(len(ordered) - 1, -1, -1):
+                order.setdefault(int(ordered[j]), []).append(j)
+            self.orders.append(order)
             length = next((n for n in LENGTHS if n - max(1, n // 8) + 1 >= len(ws)), 2 * len(ws))
             self.by_length.setdefault(length, []).append(k)
             for band, low in enumerate(self._minima(shingles).tolist()):
@@ -106,10 +119,33 @@ class Scanner:
         mixed = shingles[:, None] * self.factors
         return (mixed ^ (mixed >> np.uint64(31))).min(0)
 
+    def _runs(self, k: int, positions: list[int], hashes: list[int], reach: int) -> Iterator[tuple]:
+        """(score, containment, first, last) of the runs that hold enough of template ``k``, from each of
+        its shingles in a text to each later one that adds to the run, at most ``reach`` on. The score
+        is 1 for the notice as it is, from its first to its last shingle."""
+        order, different = self.orders[k], len(self.sets[k])
+        total = sum(map(len, order.values()))
+        for i, first in enumerate(positions):
+            end = bisect_left(positions, first + reach)
+            if (end - i) / different < MIN_CONTAINED:
+                continue
+            seen: set[int] = set()
+            tails: list[int] = []  # of rising places in the notice: as many as the run has in order
+            for h, last in zip(hashes[i:end], positions[i:end]):
+                before = len(seen) + len(tails)
+                seen.add(h)
+                for place in order[h]:
+                    at = bisect_left(tails, place)
+                    tails[at:at + 1] = [place]
+                share = len(seen) / different
+                if share >= MIN_CONTAINED and len(seen) + len(tails) > before:
+                    foreign = last - first + 1 - len(tails)
+                    yield (len(tails) - FOREIGN * foreign) / total, share, first, last
+
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """(license, start, end, containment) of each place, in order; start and end are code points.
-        Of places that overlap, the one with the largest containment stands, then the longest one, then
-        the first."""
+        Of places that overlap, the one that is most like its notice stands, then the one of the longer
+        notice, then the shortest, then the first."""
         low = text.lower()
         ws = WORD.findall(low)
         hs = self._shingles(ws)
@@ -117,7 +153,7 @@ class Scanner:
         at = at[np.isin(hs[at], self.known)]
         if not len(at):
             return []
-        places: set[tuple] = set()
+        found: dict[int, int] = {}
         for length, _ in self.by_length.items():
             step, reach = max(1, length // 8), length - SHINGLE + 1
             first = np.maximum(0, (at - reach) // step)
@@ -127,21 +163,25 @@ class Scanner:
                 met = {k for band, low_ in enumerate(self._minima(window).tolist())
                        for k in self.bands.get((length, band, low_), ())}
                 for k in met:
-                    share = np.isin(self.sets[k], window, assume_unique=True).mean()
-                    if share >= MIN_CONTAINED:
-                        held = np.flatnonzero(np.isin(hs[start:start + reach], self.sets[k])) + start
-                        places.add((float(share), int(held[0]), int(held[-1]) + SHINGLE, self.names[k]))
-        if not places:
+                    if np.isin(self.sets[k], window, assume_unique=True).mean() >= MIN_CONTAINED:
+                        found[k] = reach
+        if not found:
             return []
+        places = []
+        for k, reach in found.items():
+            own = at[np.isin(hs[at], self.sets[k])]
+            for score, share, a, b in self._runs(k, own.tolist(), hs[own].tolist(), reach):
+                places.append((-score, -len(self.sets[k]), b - a, a, b + SHINGLE, self.names[k], share))
         # Lower case can change a text's length, so places are told in words of the text itself.
         spans = [m.span() for m in WORD.finditer(text)]
         if len(spans) != len(ws):
             spans = [m.span() for m in WORD.finditer(low)]
         out: list[tuple] = []
-        for share, a, b, name in sorted(places, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
-            a, b = spans[a][0], spans[b - 1][1]
-            if all(b <= x[1] or x[2] <= a for x in out):
-                out.append((name, a, b, share))
+        taken = bytearray(len(ws))
+        for _, _, _, a, b, name, share in sorted(places):
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\1" * (b - a)
+                out.append((name, spans[a][0], spans[b - 1][1], share))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 

@@ -39,3 +39,30 @@ def test_given_documents(spark):
     want = sorted((r["doc_id"], n) for r in docs.collect() for n, x in lines.items()
                   for _ in range(r["text"].lower().count(x)))
     assert sorted((r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs).collect()) == want
+
+
+def test_neighbouring_notices_are_each_found():
+    scan = licenses.Scanner(licenses.TEMPLATES)
+
+    def found(text):
+        return [(n, text[a:b]) for n, a, b, _ in scan.scan(text)]
+
+    mit, apache = "Licensed under the MIT License", "Licensed under the Apache License, Version 2.0"
+    assert found(f"{mit}. {apache}.") == [("MIT", mit), ("Apache-2.0", apache)]
+    assert found(f"{apache}. {mit}.") == [("Apache-2.0", apache), ("MIT", mit)]
+    notices = [(n, t.rstrip(".")) for n, t in licenses.TEMPLATES]
+    for one in notices:
+        for other in notices:
+            assert found(f"{one[1]}.\n{other[1]}.") == [one, other]
+        assert found(" ".join([one[1]] * 5)) == [one] * 5
+
+
+def test_neighbouring_altered_notices():
+    scan = licenses.Scanner(licenses.TEMPLATES)
+    isc = dict((n, t) for n, t in licenses.TEMPLATES)["ISC"].split()
+    one, other = " ".join(isc[2:]), " ".join(isc[:-1])
+    text = f"{one}. {other}."
+    assert [text[a:b] for _, a, b, _ in scan.scan(text)] == [one, other]
+    # A word put into a notice ends no place.
+    text = " ".join([*isc[:-3], "always", *isc[-3:]])
+    assert [text[a:b] for _, a, b, _ in scan.scan(text)] == [text]
