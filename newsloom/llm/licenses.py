@@ -31,7 +31,7 @@ MIN_CONTAINED = 0.8
 # What a shingle that is foreign or out of order takes from a run, in shingles of the notice; a word put
 # into a notice makes three foreign ones, which one shingle behind them outweighs.
 FOREIGN = 0.25
-LENGTHS = (8, 16, 32, 64, 128, 256, 512)
+LENGTHS = (4, 8, 16, 32, 64, 128, 256, 512)
 
 # Notices by which works state their license (license, notice).
 TEMPLATES = [
@@ -63,6 +63,8 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("reserved", "All rights reserved. No part of this publication may be reproduced without permission."),
 ]
+# Bare rights notices; no license, but a statement of rights that op6 reports as well.
+RIGHTS = [("reserved", "All rights reserved.")]
 FOUND = "array<struct<license: string, start: int, end: int, containment: double>>"
 
 
@@ -100,6 +102,9 @@ class Scanner:
             self.by_length.setdefault(length, []).append(k)
             for band, low in enumerate(self._minima(shingles).tolist()):
                 self.bands.setdefault((length, band, low), []).append(k)
+        # Notices that are a piece of another one of the same license.
+        self.pieces = [any(n == name and len(x) > len(own) and np.isin(own, x).all()
+                           for n, x in zip(self.names, self.sets)) for name, own in zip(self.names, self.sets)]
         self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
         self.flags = np.zeros(1 << 16, bool)
         self.flags[(self.known >> np.uint64(48)).astype(np.int64)] = True
@@ -145,7 +150,8 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """(license, start, end, containment) of each place, in order; start and end are code points.
         Of places that overlap, the one that is most like its notice stands, then the one of the longer
-        notice, then the shortest, then the first."""
+        notice, then the shortest, then the first; a notice that is a piece of another one of its license
+        stands only where no other does."""
         low = text.lower()
         ws = WORD.findall(low)
         hs = self._shingles(ws)
@@ -171,14 +177,14 @@ class Scanner:
         for k, reach in found.items():
             own = at[np.isin(hs[at], self.sets[k])]
             for score, share, a, b in self._runs(k, own.tolist(), hs[own].tolist(), reach):
-                places.append((-score, -len(self.sets[k]), b - a, a, b + SHINGLE, self.names[k], share))
+                places.append((self.pieces[k], -score, -len(self.sets[k]), b - a, a, b + SHINGLE, self.names[k], share))
         # Lower case can change a text's length, so places are told in words of the text itself.
         spans = [m.span() for m in WORD.finditer(text)]
         if len(spans) != len(ws):
             spans = [m.span() for m in WORD.finditer(low)]
         out: list[tuple] = []
         taken = bytearray(len(ws))
-        for _, _, _, a, b, name, share in sorted(places):
+        for *_, a, b, name, share in sorted(places):
             if taken.find(1, a, b) < 0:
                 taken[a:b] = b"\1" * (b - a)
                 out.append((name, spans[a][0], spans[b - 1][1], share))
@@ -188,7 +194,8 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license, start, end (code points) and containment of every place in ``text`` that holds a
     template. NULL, empty and license-free texts give no row; repeated rows give repeated places.
-    Templates without three words are left out; without templates nothing is found."""
+    Templates without three words are left out; without templates nothing is found. Bare rights notices
+    are found with ``TEMPLATES + RIGHTS``."""
     held = docs.sparkSession.sparkContext.broadcast(list(templates or TEMPLATES))
 
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -48,7 +48,7 @@ def op5_mix_sources(spark, d):
 
 @query
 def op6_license_scan(spark, d):
-    return licenses.scan_licenses(table(spark, d, "documents"))
+    return licenses.scan_licenses(table(spark, d, "documents"), licenses.TEMPLATES + licenses.RIGHTS)
 
 
 @query

@@ -1,6 +1,7 @@
 from random import Random
 
 from newsloom.llm import licenses
+from newsloom.llm.registry import op6_license_scan
 from tests.llm.conftest import prose
 
 
@@ -66,3 +67,25 @@ def test_neighbouring_altered_notices():
     # A word put into a notice ends no place.
     text = " ".join([*isc[:-3], "always", *isc[-3:]])
     assert [text[a:b] for _, a, b, _ in scan.scan(text)] == [text]
+
+
+def test_bare_rights_notices(spark):
+    d = "/root/testdata/sf0.01"
+    lines = {"GPL-3.0": "this work is licensed under the gnu general public license, version 3",
+             "CC-BY-NC-4.0": "licensed under cc by-nc 4.0", "MIT": "released under the mit license",
+             "Apache-2.0": "licensed under the apache license, version 2.0", "reserved": "all rights reserved"}
+    want = sorted((r["doc_id"], n) for r in spark.read.parquet(f"{d}/documents.parquet").collect()
+                  for n, x in lines.items() for _ in range(r["text"].lower().count(x)))
+    assert sum(n == "reserved" for _, n in want) == 7
+    assert sorted((r["doc_id"], r["license"]) for r in op6_license_scan(spark, d).collect()) == want
+
+
+def test_rights_within_the_long_notice_are_one_place():
+    scan = licenses.Scanner(licenses.TEMPLATES + licenses.RIGHTS)
+    long_ = dict(licenses.TEMPLATES)["reserved"].rstrip(".")
+    for notice in (long_, long_.replace(" may ", " may never ")):
+        text = f"{notice}. All rights reserved."
+        assert [text[a:b] for _, a, b, _ in scan.scan(text)] == [notice, "All rights reserved"]
+    for i in range(40):
+        text = f"{prose(i, i * 7)} ALL RIGHTS RESERVED {prose(i + 1, i)}"
+        assert [(n, text[a:b]) for n, a, b, _ in scan.scan(text)] == [("reserved", "ALL RIGHTS RESERVED")]
