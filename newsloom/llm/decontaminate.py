@@ -14,12 +14,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.scratch import settle
+
 K1, B = 1.2, 0.75
 MIN_SCORE = 0.5
 MIN_QUESTION, MIN_ANSWER = 0.6, 0.5
@@ -78,25 +81,38 @@ class _Lists:
         return np.flatnonzero(sums + self.given >= least - 1e-9)
 
 
+@dataclass
+class Whole:
+    """What scores and passages take from the whole benchmark: its items with words, their words, those
+    of the longest one, and by term the number of items that have it."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """BM25 over items [(item_id, text)]; items without words are left out, they occur in nothing."""
+    """BM25 over items [(item_id, text)]; items without words are left out, they occur in nothing. An
+    index of a part of the benchmark is given the counts of the whole."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Whole | None = None):
         kept = sorted((i, t) for i, t in items if i is not None and terms(t or ""))
         self.ids = [i for i, _ in kept]
         spelled = [terms(t) for _, t in kept]
-        self.longest = max(map(len, spelled), default=0)
         split = [parts(t) for _, t in kept]
         self.questions = [grams(q, QUESTION_GRAM) for q, _ in split]
         self.answers = [grams(a, ANSWER_GRAM) for _, a in split]
         self.sizes = [(min(QUESTION_GRAM, len(q)), min(ANSWER_GRAM, len(a))) for q, a in split]
         counts = [Counter(ws) for ws in spelled]
-        df = Counter(t for c in counts for t in c)
-        mean = sum(map(len, spelled)) / max(1, len(spelled))
+        whole = whole or Whole(len(kept), sum(map(len, spelled)), max(map(len, spelled), default=0),
+                               Counter(t for c in counts for t in c))
+        self.longest, df = whole.longest, whole.df
+        mean = whole.words / max(1, whole.items)
         postings: dict[str, list] = {}
         for i, c in enumerate(counts):
             norm = K1 * (1 - B + B * len(spelled[i]) / mean)
-            gain = {t: math.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm)
+            gain = {t: math.log(1 + (whole.items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm)
                     for t, n in c.items()}
             own = sum(gain.values())
             for t, g in gain.items():
@@ -202,13 +218,33 @@ class Index:
         return [best[i] for i in sorted(best)]
 
 
+def _spelled(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: terms(t or ""))
+
+
 def indexes(benchmark: DataFrame) -> list[Index]:
-    """The items in indexes of bounded size, by a hash of the item's id."""
+    """The items in indexes of bounded size, by a hash of the item's id; all with the counts of the
+    whole benchmark, so that a score does not depend on their number."""
     size = benchmark.agg(F.count("*"), F.sum(F.length("text"))).first()
     n = max(1, math.ceil(size[0] / INDEX_ITEMS), math.ceil((size[1] or 0) / INDEX_CHARS))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [Index([(r["item_id"], r["text"]) for r in benchmark.where(part == i).select(
-        "item_id", "text").toLocalIterator()]) for i in range(n)]
+    if n == 1:
+        return [Index([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()])]
+    items = settle(benchmark.where("item_id IS NOT NULL").select(
+        "item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("part"),
+        F.pandas_udf(_spelled, "array<string>")("text").alias("words")).where(F.size("words") > 0))
+    count, words, longest = items.agg(
+        F.count("*"), F.sum(F.size("words").cast("long")), F.max(F.size("words"))).first()
+    held = settle(items.select("part", F.explode(F.array_distinct("words")).alias("term")).groupBy(
+        "part", "term").count())
+    df = settle(held.join(held.groupBy("term").agg(F.sum("count").alias("df")), "term").select(
+        "part", "term", "df"))
+
+    def index(i: int) -> Index:
+        known = {r["term"]: r["df"] for r in df.where(F.col("part") == i).toLocalIterator()}
+        rows = items.where(F.col("part") == i).select("item_id", "text").toLocalIterator()
+        return Index([(r["item_id"], r["text"]) for r in rows], Whole(count, words or 0, longest or 0, known))
+
+    return [index(i) for i in range(n)]
 
 
 def _looker(index, least: float):

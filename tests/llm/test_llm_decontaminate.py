@@ -48,3 +48,21 @@ def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert d.contaminated(odd, items).collect() == [] and d.contaminated(none, items).collect() == []
     assert d.contaminated(odd, items.where("false")).collect() == []
+
+
+def test_several_indexes_give_the_same_scores(spark, monkeypatch):
+    """Also for items in part and of unequal length, whose scores lie on both sides of the threshold."""
+    r = Random(8)
+    common = [prose(700 + i, 1) for i in range(12)]
+    texts = [" ".join(r.sample(common, 6) + prose(i, r.randint(4, 60)).split()) + f". {prose(300 + i, 3)}." for i in range(60)]
+    rows = []
+    for i, t in enumerate(texts):
+        ws = t.split()
+        rows.append((i, f"{prose(2000 + i, 80)} {' '.join(ws[:r.randint(len(ws) // 3, len(ws))])} {' '.join(ws[-4:])} {prose(3000 + i, 80)}"))
+    items = spark.createDataFrame([*enumerate(texts), (None, "x"), (98, None), (99, "")], "item_id long, text string")
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(tuple, d.contaminated(table, items).collect()))
+    monkeypatch.setattr(d, "INDEX_ITEMS", 10)
+    assert len(d.indexes(items)) == 7
+    assert sorted(map(tuple, d.contaminated(table, items).collect())) == one
+    assert 20 < len(one) < 60 and any(x[2] < 0.95 for x in one)
