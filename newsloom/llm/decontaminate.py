@@ -13,11 +13,13 @@ of their word n-grams.
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ MIN_QUESTION, MIN_ANSWER = 0.6, 0.5
 QUESTION_GRAM, ANSWER_GRAM = 5, 3
 # Items share a block of the index in fours. Frequent terms that together give no item more than
 # this part of the threshold are left to the second look. One index is broadcast at a time and holds at most
-# this many items and characters; more items make more indexes, asked one after another.
+# this many items and characters; more items make more indexes, made and asked one after another.
 BLOCK = 4
 FREQUENT_PART = 0.4
 INDEX_ITEMS = 20_000
@@ -222,13 +224,25 @@ def _spelled(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: terms(t or ""))
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
+class Indexes:
+    """So many indexes, each made when it is its turn."""
+
+    def __init__(self, n: int, make: Callable[[int], Index]):
+        self.n, self.make = n, make
+
+    def __len__(self) -> int:
+        return self.n
+
+
+def indexes(benchmark: DataFrame) -> Indexes:
     """The items in indexes of bounded size, by a hash of the item's id; all with the counts of the
-    whole benchmark, so that a score does not depend on their number."""
+    whole benchmark, so that a score does not depend on their number. The driver reads one part at a
+    time."""
     size = benchmark.agg(F.count("*"), F.sum(F.length("text"))).first()
     n = max(1, math.ceil(size[0] / INDEX_ITEMS), math.ceil((size[1] or 0) / INDEX_CHARS))
     if n == 1:
-        return [Index([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()])]
+        return Indexes(1, lambda _: Index([
+            (r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").toLocalIterator()]))
     items = settle(benchmark.where("item_id IS NOT NULL").select(
         "item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("part"),
         F.pandas_udf(_spelled, "array<string>")("text").alias("words")).where(F.size("words") > 0))
@@ -244,7 +258,7 @@ def indexes(benchmark: DataFrame) -> list[Index]:
         rows = items.where(F.col("part") == i).select("item_id", "text").toLocalIterator()
         return Index([(r["item_id"], r["text"]) for r in rows], Whole(count, words or 0, longest or 0, known))
 
-    return [index(i) for i in range(n)]
+    return Indexes(n, index)
 
 
 def _looker(index, least: float):
@@ -257,18 +271,45 @@ def _looker(index, least: float):
     return look
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE) -> Column:
-    """A column of ``docs`` with the items found in ``text``: FOUND, in order of item_id within an
-    index; empty for NULL and empty texts and without items. Repeated items are each found."""
-    send = docs.sparkSession.sparkContext.broadcast
-    columns = [F.pandas_udf(_looker(send(i), least), FOUND)("text") for i in indexes(benchmark)]
-    return F.concat(*columns) if len(columns) > 1 else columns[0]
+def _found(docs: DataFrame, index: Index, least: float) -> tuple[Column, Broadcast]:
+    """A column of ``docs`` with the items of one index found in ``text``: FOUND, in order of item_id;
+    empty for NULL and empty texts. And the broadcast that it reads."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    return F.pandas_udf(_looker(sent, least), FOUND)("text"), sent
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` in which no item is found. Of several indexes each is asked in a job of its
+    own with the rows that the ones before it left, and given up after it."""
+    parts = indexes(benchmark)
+
+    def left(docs: DataFrame, index: Index) -> DataFrame:
+        found, sent = _found(docs, index, least)
+        docs = docs.where(F.size(found) == 0)
+        if len(parts) > 1:
+            docs = settle(docs)
+            sent.destroy()
+        return docs
+
+    for i in range(len(parts)):
+        docs = left(docs, parts.make(i))
+    return docs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """doc_id, item_id, score, question_share, answer_share for every pair of a row of ``docs`` and an
-    item that it holds. Repeated rows give repeated pairs; other columns are ignored."""
-    found = docs.select("doc_id", F.explode(matches(docs, benchmark, least)).alias("m"))
-    return found.select(
-        "doc_id", "m.item_id", F.round("m.score", 6).alias("score"),
-        F.round("m.question", 6).alias("question_share"), F.round("m.answer", 6).alias("answer_share"))
+    item that it holds. Repeated rows and repeated items give repeated pairs; other columns are ignored.
+    Of several indexes each is asked in a job of its own, which reads ``docs``, and given up after it."""
+    parts = indexes(benchmark)
+
+    def pairs(index: Index) -> DataFrame:
+        column, sent = _found(docs, index, least)
+        found = docs.select("doc_id", F.explode(column).alias("m")).select(
+            "doc_id", "m.item_id", F.round("m.score", 6).alias("score"),
+            F.round("m.question", 6).alias("question_share"), F.round("m.answer", 6).alias("answer_share"))
+        if len(parts) > 1:
+            found = settle(found)
+            sent.destroy()
+        return found
+
+    return reduce(DataFrame.union, [pairs(parts.make(i)) for i in range(len(parts))])

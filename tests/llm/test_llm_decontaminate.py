@@ -1,5 +1,7 @@
+import gc
 from collections import Counter
 from random import Random
+from weakref import finalize
 
 import numpy as np
 
@@ -66,3 +68,23 @@ def test_several_indexes_give_the_same_scores(spark, monkeypatch):
     assert len(d.indexes(items)) == 7
     assert sorted(map(tuple, d.contaminated(table, items).collect())) == one
     assert 20 < len(one) < 60 and any(x[2] < 0.95 for x in one)
+
+
+def test_one_index_is_alive_at_a_time(spark, monkeypatch):
+    alive, most, init = set(), [], d.Index.__init__
+
+    def watched(index, *given):
+        gc.collect()
+        init(index, *given)
+        alive.add(len(most))
+        finalize(index, alive.discard, len(most))
+        most.append(len(alive))
+
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(i, t) for i, t in ITEMS[:10]] + [(100, prose(100, 60)), (101, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(d, "INDEX_ITEMS", 20)
+    monkeypatch.setattr(d.Index, "__init__", watched)
+    assert {(r["doc_id"], r["item_id"]) for r in d.contaminated(table, items).collect()} == {(i, i) for i in range(10)}
+    assert {r["doc_id"] for r in d.clean(table, items).collect()} == {100, 101}
+    assert most == [1] * 6
