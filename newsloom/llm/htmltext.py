@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?=[\s/])[^>]*/>"
+    r"|<(?:script(?=[\s/>])[^>]*>.*?(?:</script\s*>|\Z)|style(?=[\s/>])[^>]*>.*?(?:</style\s*>|\Z)"
+    r"|textarea(?=[\s/>])[^>]*>.*?(?:</textarea\s*>|\Z))"
+    r"|<(noscript|template|iframe|svg|select|object)(?=[\s/>])[^>]*>.*?</\1\s*>"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S | re.I)
 MARKED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")

@@ -81,3 +81,15 @@ def test_given_pages(spark):
         article = re.search(r"<article>(.*)</article>", r["html"], re.S).group(1)
         want = [" ".join(htmltext.html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?p>|</?h1>", article)]
         assert r["text"] == "\n\n".join(b for b in want if b)
+
+
+def test_only_whole_elements_are_cut():
+    def texts(page):
+        return [t for _, t in htmltext.blocks(page)]
+
+    assert texts("<p>a<svg/>b<p>c<svg class='x' />d") == ["ab", "cd"]
+    assert texts("<p>a<select-menu>b</select-menu><p>c<object-viewer>d</object-viewer><p>e<svg-icon>f") == ["ab", "cd", "ef"]
+    for name in ("svg", "object", "select", "iframe", "noscript", "template"):
+        assert texts(f"<p>a<{name} id=x>no</{name.upper()} >b<p>c<{name}>d<p>e") == ["ab", "cd", "e"]
+    for name in ("script", "style", "textarea"):
+        assert texts(f"<p>a<{name}>no<p>no</{name}>b<p>c<{name}>no<p>no") == ["ab", "c"]
