@@ -5,7 +5,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import decontaminate, htmltext, jaccard, licenses, mixing, pii, quality, tokens, toxicity, warc
+from newsloom.llm import (
+    centroids,
+    decontaminate,
+    divergence,
+    htmltext,
+    jaccard,
+    licenses,
+    mixing,
+    pii,
+    quality,
+    substrings,
+    tokens,
+    toxicity,
+    warc,
+)
 from newsloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +86,19 @@ def op9_token_counts(spark, d):
 @query
 def op10_jaccard_join(spark, d):
     return jaccard.similar(table(spark, d, "documents"), size=3, percent=90)
+
+
+@query
+def op11_substring_dedup(spark, d):
+    return substrings.remove_repeats(table(spark, d, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_centroid_clusters(spark, d):
+    return centroids.cluster(table(spark, d, "embeddings"))
+
+
+@query
+def op13_source_divergence(spark, d):
+    return divergence.divergences(table(spark, d, "documents"))

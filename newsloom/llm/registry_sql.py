@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, written from their definitions."""
 
-from newsloom.llm import mixing, quality
+from newsloom.llm import centroids, divergence, mixing, quality, substrings
 
 ORACLES: dict[str, str] = {}
 
@@ -120,3 +120,115 @@ tried AS (
     ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT source, s AS source_size, least(cap, w * (SELECT max(level) FROM tried)) AS target
 FROM weighed"""
+
+
+def _substrings(window: int = substrings.WINDOW) -> str:
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+places AS (SELECT r, ws, unnest(range(1, len(ws) - {window - 2})) AS i FROM docs WHERE len(ws) >= {window}),
+windows AS MATERIALIZED (SELECT r, i, array_to_string(ws[i:i + {window - 1}], ' ') AS k FROM places),
+twice AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + {window})) AS p
+  FROM windows WHERE k IN (SELECT k FROM twice)),
+spread AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM docs),
+kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM spread ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)"""
+
+
+def _centroids(clusters: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS) -> str:
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (
+  SELECT r, c, d FROM (
+    SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS nth FROM (
+      SELECT r, c, sum((x - y) * (x - y)) AS d FROM parts JOIN c{n} USING (i) GROUP BY r, c))
+  WHERE nth = 1)"""
+
+    def moved(n: int) -> str:
+        return f"""c{n + 1} AS MATERIALIZED (
+  SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS y
+  FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM parts JOIN a{n} USING (r) GROUP BY c, i)
+  UNION ALL SELECT c, i, y FROM c{n} WHERE c NOT IN (SELECT c FROM a{n}))"""
+
+    steps = ",\n".join(f"{assigned(n)},\n{moved(n)}" for n in range(rounds))
+    dims = centroids.DIMS
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dims}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+parts AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept),
+first AS (
+  SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), v) - 1 AS c, v FROM kept),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM first WHERE c < {clusters}),
+{steps},
+{assigned(rounds)},
+named AS (
+  SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance,
+  (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN named USING (c)"""
+
+
+def _divergence() -> str:
+    share = lambda n, total: (
+        f"1 + ({divergence.SCALE}::HUGEINT * ({n} + {divergence.PRIOR})) // ({total} + {divergence.PRIOR} * v)")
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+  FROM documents),
+said AS (
+  SELECT r, lang, source,
+    translate(unnest(ts), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM docs),
+kept AS MATERIALIZED (
+  SELECT lang, term FROM said GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+counts AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS MATERIALIZED (
+  SELECT lang, source, coalesce(sum(n), 0) AS total, coalesce(any_value(v), 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source)
+  LEFT JOIN sizes USING (lang) GROUP BY lang, source),
+shares AS MATERIALIZED (
+  SELECT lang, source, term, coalesce(n, 0) AS n, {share("coalesce(n, 0)", "total")} AS p
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+langs AS (
+  SELECT lang, term, {share("sum(n)", "any_value(t)")} AS q
+  FROM counts JOIN (SELECT lang, sum(total) AS t, any_value(v) AS v FROM groups GROUP BY lang) USING (lang)
+  GROUP BY lang, term, v),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(d, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS d
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+    GROUP BY x.lang, x.source, y.source) s
+  ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+found AS (
+  SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN langs USING (lang, term)
+  WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, (row_number() OVER (
+    PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+  FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
+ORACLES["op11_substring_dedup"] = _substrings()
+ORACLES["op12_centroid_clusters"] = _centroids()
+ORACLES["op13_source_divergence"] = _divergence()
