@@ -50,12 +50,13 @@ MAX_REFERENCE_SYMBOL_PERCENT = 1
 SCALE = 10_000
 
 
-def _repeated(ws: Column) -> Column:
-    """How many words lie in windows of WINDOW words found at least twice in the text."""
-    windows = F.transform(
-        F.slice(ws, 1, F.greatest(F.size(ws) - (WINDOW - 1), F.lit(0))),
-        lambda _, i: F.xxhash64(F.slice(ws, i + 1, WINDOW)),
-    )
+def _repeated(words_of: Column) -> Column:
+    """How many words lie in windows of WINDOW words found at least twice in the text. The words are
+    bound once: a filter moved below the projection that splits them would split them per window."""
+    def windows(ws: Column) -> Column:
+        return F.transform(
+            F.slice(ws, 1, F.greatest(F.size(ws) - (WINDOW - 1), F.lit(0))),
+            lambda _, i: F.xxhash64(F.slice(ws, i + 1, WINDOW)))
 
     def covered(positions: Column) -> Column:
         reach = F.transform(positions, lambda p, i: F.least(
@@ -75,7 +76,7 @@ def _repeated(ws: Column) -> Column:
             let(let(pairs, doubled), covered),
         ).otherwise(0)
 
-    return let(windows, count)
+    return let(let(words_of, windows), count)
 
 
 def with_histograms(docs: DataFrame) -> DataFrame:
@@ -186,5 +187,8 @@ def assess(docs: DataFrame) -> DataFrame:
     })
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
         F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return j.withColumn("kept", ~F.col("base_failed") & ~far).drop(
+    # One expression over both sides of the join: a conjunction would be taken apart when it is
+    # filtered, and its base half be moved onto the scan and computed a second time there.
+    kept = F.forall(F.array(~F.col("base_failed"), ~far), lambda x: x)
+    return j.withColumn("kept", kept).drop(
         "_q_lang", "_q_chars", "_q_common", "_q_n", "_q_ref_lang", "_q_ref_chars", "_q_ref_common")
