@@ -1,8 +1,8 @@
 """Source divergence audit with in-mapper stripes.
 
 How far do the sources of one language differ in the words they use? A task folds whole documents
-into stripes: for each (language, term) the number of documents with the term and a hash of source to
-occurrences. When its stripes outgrow a fixed memory it writes them and starts afresh. Stripes are
+into stripes: for each (language, term) the number of documents with the term and its occurrences in
+each source. When its stripes outgrow a fixed memory it writes them and starts afresh. Stripes are
 shuffled by their key, merged in key order as a stream, and those of terms in too few documents
 go. From merged stripes alone come the totals of all groups and, task by task, the divergences: one
 stripe gives a term's share in every source of its language at once.
@@ -11,11 +11,12 @@ Shares are integers, in parts of SCALE plus one, with PRIOR added to each count;
 """
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,12 +27,14 @@ MIN_DOCS = 30
 PRIOR = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
-# A task writes its stripes when they take about so many bytes of memory; each stripe and each source
-# in one counts as so many.
-STRIPE_BYTES = 96 << 20
-STRIPE_COST, SOURCE_COST = 400, 100
-# Stripes in an Arrow batch; rows of one language's totals, each with a share of its stripes.
-OUT_ROWS = 4096
+# A task writes its stripes when they hold so many entries (a source in a stripe), or their terms so
+# many bytes; it folds texts into them in pieces of about so many bytes.
+STRIPE_ENTRIES = 2_000_000
+TERM_BYTES = 64 << 20
+PIECE_BYTES = 8 << 20
+# Stripes merged at once.
+MERGED_ROWS = 100_000
+# Rows of one language's totals, each with a share of its stripes.
 SALTS = 64
 
 # Terms are runs of ASCII letters and of characters beyond ASCII; only A-Z are lowered. In UTF-8 all
@@ -42,90 +45,165 @@ _LOWERED = bytes(b if b >= 128 or _BYTES[b:b + 1].isalpha() else 32 for b in ran
 STRIPES = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-def terms(text: bytes) -> list[bytes]:
-    """The terms of a text in UTF-8, in order."""
-    return text.translate(_LOWERED).split()
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+def terms(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The terms of texts in UTF-8, in order, and how many each text has."""
+    letters = np.frombuffer(b" ".join(texts).translate(_LOWERED), np.uint8)
+    gap = letters == 32
+    edges = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
+    first, last = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    ends = np.concatenate(([0], np.cumsum(last - first))).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(letters[~gap])])
+    return found, np.diff(np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+
+
+class Numbers(dict):
+    """Numbers for keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, in order, with the sums of its values."""
+    if not len(keys):
+        return keys, *values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], *(np.add.reduceat(v[order], first) for v in values)
+
+
+class Stripes:
+    """The stripes of a task. Terms and (language, source) groups are numbered by hash tables; the hash of
+    a stripe is kept as sorted entries (term, group) with documents and occurrences."""
+
+    def __init__(self):
+        self.terms, self.groups, self.term_bytes = Numbers(), Numbers(), 0
+        none = np.zeros(0, np.int64)
+        self.folded, self.waiting, self.n_waiting = (none, none, none), [], 0
+
+    def add(self, groups: list[tuple[str, str]], texts: list[bytes]) -> None:
+        """Fold whole documents."""
+        found, sizes = terms(texts)
+        known, coded = len(self.terms), found.dictionary_encode()
+        number = np.array([self.terms[t] for t in coded.dictionary.to_pylist()], np.int64)
+        said = number[coded.indices.to_numpy()]
+        home = np.repeat(np.arange(len(texts)), sizes)
+        self.term_bytes += sum(map(len, islice(reversed(self.terms), len(self.terms) - known)))
+        group = np.array([self.groups[g] for g in groups], np.int64)
+        # Once per document and term, then per group and term.
+        width = len(self.terms) or 1
+        pairs, n = np.unique(home * width + said, return_counts=True)
+        keys = (pairs % width << 32) + group[pairs // width]
+        self.waiting.append(_summed(keys, np.ones(len(keys), np.int64), n))
+        self.n_waiting += len(self.waiting[-1][0])
+        if self.n_waiting > STRIPE_ENTRIES // 2:
+            self._fold()
+
+    def _fold(self) -> None:
+        self.folded = _summed(*map(np.concatenate, zip(self.folded, *self.waiting)))
+        self.waiting, self.n_waiting = [], 0
+
+    def full(self) -> bool:
+        return len(self.folded[0]) >= STRIPE_ENTRIES or self.term_bytes >= TERM_BYTES
+
+    def written(self) -> Iterator[pa.RecordBatch]:
+        self._fold()
+        keys, docs, counts = self.folded
+        if not len(keys):
+            return
+        langs, names = Numbers(), Numbers()
+        of_group = np.array([(langs[lang], names[source]) for lang, source in self.groups], np.int64)
+        term, lang, source = keys >> 32, *of_group[keys & 0xFFFFFFFF].T
+        order = np.lexsort((lang, term))
+        term, lang, source, docs, counts = (x[order] for x in (term, lang, source, docs, counts))
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1]))))
+        spelled = pa.array([t.decode("utf-8", "replace") for t in self.terms], pa.string())
+        yield _stripes(
+            pa.array(list(langs), pa.string()).take(pa.array(lang[first])), spelled.take(pa.array(term[first])),
+            np.add.reduceat(docs, first), np.append(first, len(term)),
+            pa.array(list(names), pa.string()).take(pa.array(source)), counts)
+
+
+def _stripes(langs, terms, docs, cuts, sources, counts) -> pa.RecordBatch:
+    cuts = pa.array(cuts, pa.int32())
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "term", "docs", "sources", "counts"])
-
-
-def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == OUT_ROWS:
-            yield _batch(held)
-            held = []
-    if held:
-        yield _batch(held)
-
-
-def _folder(limit: int):
-    """Whole documents into stripes, written whenever they take ``limit`` bytes."""
-    def written(stripes: dict) -> Iterator[pa.RecordBatch]:
-        yield from _batches(
-            (lang, term.decode("utf-8", "replace"), docs, list(by_source), list(by_source.values()))
-            for lang, of_lang in stripes.items() for term, (docs, by_source) in of_lang.items())
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes, used = {}, 0
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for lang, source, text in zip(
-                    batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts):
-                of_lang = stripes.setdefault(lang, {})
-                for term, n in Counter(terms(text.as_py())).items():
-                    stripe = of_lang.get(term)
-                    if stripe is None:
-                        of_lang[term] = [1, {source: n}]
-                        used += STRIPE_COST + len(term)
-                        continue
-                    stripe[0] += 1
-                    by_source = stripe[1]
-                    if source in by_source:
-                        by_source[source] += n
-                    else:
-                        by_source[source] = n
-                        used += SOURCE_COST
-                if used >= limit:
-                    yield from written(stripes)
-                    stripes, used = {}, 0
-        yield from written(stripes)
-
-    return fold
+        [langs, terms, pa.array(docs, pa.int64()), pa.ListArray.from_arrays(cuts, sources),
+         pa.ListArray.from_arrays(cuts, pa.array(counts, pa.int64()))],
+        names=["lang", "term", "docs", "sources", "counts"])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole documents into stripes, written whenever they are full."""
+    held = Stripes()
+    for batch in batches:
+        if not len(batch):
+            continue
+        column = batch.column("text").cast(pa.binary())
+        groups = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
+        # Pieces end with the first document that brings them to PIECE_BYTES.
+        piece = np.cumsum(pc.binary_length(column).to_numpy()) // PIECE_BYTES
+        cuts = [0, *(np.flatnonzero(piece[1:] != piece[:-1]) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:]):
+            held.add(groups[a:b], column.slice(a, b - a).to_pylist())
+            if held.full():
+                yield from held.written()
+                held = Stripes()
+    yield from held.written()
+
+
+def merged(rows: pa.RecordBatch, min_docs: int) -> pa.RecordBatch:
+    """Stripes in key order into one for each key, without those of fewer than ``min_docs`` documents."""
+    lang, term = rows.column("lang"), rows.column("term")
+    differs = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1]))
+    new = np.concatenate(([True], differs.to_numpy(zero_copy_only=False)))
+    first = np.flatnonzero(new)
+    docs = np.add.reduceat(rows.column("docs").to_numpy(), first)
+    kept = docs >= min_docs
+    lists = rows.column("sources")
+    key = np.repeat(np.cumsum(new) - 1, pc.list_value_length(lists).to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    mine = kept[key]
+    width = len(coded.dictionary) or 1
+    entries, counts = _summed(key[mine] * width + coded.indices.to_numpy()[mine],
+                              rows.column("counts").flatten().to_numpy()[mine])
+    number, source = np.divmod(entries, width)
+    cuts = np.searchsorted(number, np.append(np.flatnonzero(kept), len(kept)))
+    at = pa.array(first[kept])
+    return _stripes(lang.take(at), term.take(at), docs[kept], cuts, coded.dictionary.take(pa.array(source)), counts)
 
 
 def _merger(min_docs: int):
-    """Stripes sorted by key into one for each key, without those of fewer than ``min_docs`` documents."""
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        key, docs, by_source = None, 0, {}
+    """``merged`` over a stream. The rows of the last key wait for more; many rows of one key are merged
+    on the way, so that memory does not grow with them."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("lang", "term", "docs", "sources", "counts")]
-            for lang, term, n, sources, counts in zip(*columns):
-                if (lang, term) != key:
-                    if key and docs >= min_docs:
-                        yield *key, docs, list(by_source), list(by_source.values())
-                    key, docs, by_source = (lang, term), 0, {}
-                docs += n
-                for s, c in zip(sources, counts):
-                    by_source[s] = by_source.get(s, 0) + c
-        if key and docs >= min_docs:
-            yield *key, docs, list(by_source), list(by_source.values())
-
-    return lambda batches: _batches(merged(batches))
-
-
-def stripes(docs: DataFrame, min_docs: int = MIN_DOCS, limit: int = STRIPE_BYTES) -> DataFrame:
+            held.append(batch)
+            if sum(map(len, held)) < MERGED_ROWS:
+                continue
+            rows = pa.concat_batches(held)
+            same = pc.and_(pc.equal(rows.column("term"), rows.column("term")[-1]),
+                           pc.equal(rows.column("lang"), rows.column("lang")[-1]))
+            cut = len(rows) - pc.sum(same).as_py()
+            if cut:
+                yield merged(rows.slice(0, cut), min_docs)
+                held = [rows.slice(cut)]
+            else:
+                held = [merged(rows, 0)]
+        if sum(map(len, held)):
+            yield merged(pa.concat_batches(held), min_docs)
+
+    return merge
+
+
+def stripes(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """lang, term, docs (how many hold the term), sources and counts (occurrences in each, none of
     them 0) of every term in at least ``min_docs`` documents of its language."""
     empty = F.lit("")
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("lang", "source", "text")))
-    folded = rows.mapInArrow(_folder(limit), STRIPES)
+    folded = rows.mapInArrow(_fold, STRIPES)
     return folded.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(
         _merger(min_docs), STRIPES)
 
