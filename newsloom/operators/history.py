@@ -1,15 +1,20 @@
 """Message history per conversation.
 
 One conversation may hold a large share of all turns, so nothing here orders a whole conversation
-in one task. Turns are cut into blocks of consecutive turn numbers; block totals are small and are
-summed over a window, and inside a block a window sees at most ``block`` rows. ``turn`` is an
-integer, unique within its conversation.
+in one task. Turns are sorted by range over all tasks and cut into blocks of consecutive rows; block
+totals are cut into blocks again, so that no window sees more than ``block`` rows of turns or of
+totals, whatever the turn numbers are (running numbers or times). ``turn`` is unique within
+its conversation.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.scratch import settle
+
 BLOCK = 4096
+# Rows of one sorted partition are numbered in the lower bits, partitions in the upper ones.
+PARTITION_BITS = 33
 
 
 def running_totals(
@@ -20,21 +25,40 @@ def running_totals(
     order: str = "turn",
     block: int = BLOCK,
 ) -> DataFrame:
-    """Add, per name in ``values``, the sum of that column over the key's rows up to this one."""
-    cut = turns.withColumns(
-        {"_block": F.floor(F.col(order) / F.lit(block)), **{f"_v_{n}": v for n, v in values.items()}}
-    )
-    totals = cut.groupBy(key, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        key, "_block",
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values],
-    )
+    """Add, per name in ``values``, the sum of that column over the key's rows up to this one. A NULL
+    key is a key like any other.
+
+    A prefix sum in two levels: rows within blocks, blocks within groups of ``block`` blocks, and
+    groups, of which a key with a billion rows has some sixty.
+    """
+    ordered = turns.repartitionByRange(F.col(key), F.col(order)).sortWithinPartitions(key, order)
+    placed = settle(ordered.withColumns({
+        "_at": F.monotonically_increasing_id(), **{f"_v_{n}": v for n, v in values.items()}}))
+    part = F.shiftright("_at", PARTITION_BITS)
+    row = F.col("_at") - F.shiftleft(part, PARTITION_BITS)
+    # Blocks count on from partition to partition: so many a partition has at most, its last one shorter.
+    most = placed.agg(F.max(row)).first()[0] or 0
+    cut = placed.withColumn("_block", part * (most // block + 1) + F.floor(row / block)).drop("_at")
+    # A constant stands for a missing key, and a flag tells the two apart.
+    same = F.col(key).isNull()
+    cut = cut.withColumns({"_no_key": same, "_key": F.coalesce(key, F.lit(0).cast(turns.schema[key].dataType))})
+    totals = settle(cut.groupBy("_no_key", "_key", "_block").agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]
+    ).withColumn("_group", F.floor(F.col("_block") / block)))
+    up_to = (Window.unboundedPreceding, -1)
+    groups = totals.groupBy("_no_key", "_key", "_group").agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in values])
+    over_groups = Window.partitionBy("_no_key", "_key").orderBy("_group").rowsBetween(*up_to)
+    groups = groups.select("_no_key", "_key", "_group", *[
+        F.coalesce(F.sum(f"_t_{n}").over(over_groups), F.lit(0)).alias(f"_g_{n}") for n in values])
+    over_blocks = Window.partitionBy("_no_key", "_key", "_group").orderBy("_block").rowsBetween(*up_to)
+    offsets = totals.join(groups, ["_no_key", "_key", "_group"]).select("_no_key", "_key", "_block", *[
+        (F.col(f"_g_{n}") + F.coalesce(F.sum(f"_t_{n}").over(over_blocks), F.lit(0))).alias(f"_o_{n}")
+        for n in values])
     within = (
-        Window.partitionBy(key, "_block").orderBy(order)
+        Window.partitionBy("_no_key", "_key", "_block").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return cut.join(offsets, [key, "_block"]).select(
+    return cut.join(offsets, ["_no_key", "_key", "_block"]).select(
         *turns.columns,
         *[(F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(within)).alias(n) for n in values],
     )

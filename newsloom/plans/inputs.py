@@ -115,6 +115,16 @@ def kb_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(asked.unionByName(direct).unionByName(ambiguous))
 
 
+def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn, and every page title with its words in reverse inside a question."""
+    titles = table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+    turned = F.array_join(F.reverse(F.split("title", " ")), " ")
+    inside = titles.select(
+        (-F.col("page_id") - 1).alias("q_id"),
+        F.concat(F.lit("Who knows, "), turned, F.lit("? Tell me, please")).alias("question"))
+    return settle(questions(spark, sf_dir).unionByName(inside))
+
+
 def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding as a chunk; some without url, some undated."""
     v = F.col("vec_id")

@@ -12,6 +12,7 @@ from newsloom.functions import (
 from newsloom.operators import (
     context, history, ingest, lookup, retrieval, routing, similarity, upsert,
 )
+from newsloom.operators.title_search import search_titles
 from newsloom.plans import inputs
 from newsloom.plans.answer import answer_questions, retrieve_context
 from newsloom.plans.ingest import NewsTables, articles_from_feeds, ingest_batch
@@ -572,6 +573,19 @@ def kb_lookup(spark, d):
     )
 
 
+@query
+def title_search(spark, d):
+    """The title that stands in a question, whatever the order of its words."""
+    return search_titles(inputs.search_questions(spark, d), inputs.kb(spark, d)).select(
+        "q_id", "lang", "title", "url", "alias_of", "matched")
+
+
+@query
+def kb_lookup_search(spark, d):
+    found = lookup.kb_lookup(inputs.search_questions(spark, d), inputs.kb(spark, d), search=True)
+    return found.select("q_id", "lang", _md5("wiki_content").alias("content_md5"))
+
+
 @query
 def lookup_docs(spark, d):
     asked = inputs.kb_questions(spark, d)
@@ -630,6 +644,15 @@ def history_last_n(spark, d):
     )
 
 
+@query
+def history_sparse(spark, d):
+    """Turns numbered by times far apart, as message stamps are."""
+    turns = _turns(spark, d).withColumn("turn", F.col("turn") * 86_400_000 + F.col("conv_id") % 1000)
+    last = history.history_last_n(turns, 4).select("conv_id", "turn", _history_text().alias("history"))
+    return last.join(history.running_history(turns).select(
+        "conv_id", "turn", "position", "history_chars"), ["conv_id", "turn"])
+
+
 # --- whole runs and streams ------------------------------------------------------------------
 
 
@@ -717,4 +740,14 @@ def stream_sessions(spark, d):
     )
     memory = SessionMemory(spark, f"{root}/memory", n=4)
     memory.start(stream, f"{root}/progress").awaitTermination()
-    return memory.seen.versions().select("conv_id", "turn", _history_text().alias("history"))
+    return memory.histories().select("conv_id", "turn", _history_text().alias("history"))
+
+
+@query
+def stream_sessions_late(spark, d):
+    """Every third turn comes late, after the ones that follow it; in the end all see what they would in order."""
+    memory = SessionMemory(spark, new_dir(spark, "stream-sessions-late"), n=4)
+    turns = settle(_turns(spark, d).select(*schemas.TURNS.names))
+    for batch_id, part in enumerate(("turn % 3 <> 1", "turn % 3 = 1 AND turn % 2 = 0", "turn % 3 = 1 AND turn % 2 = 1")):
+        memory.take(turns.where(part), batch_id)
+    return memory.histories().select("conv_id", "turn", _history_text().alias("history"))

@@ -314,6 +314,34 @@ found AS (
   QUALIFY row_number() OVER (PARTITION BY t.q_id ORDER BY t.prio, r.step) = 1)"""
 
 
+SEARCH_QUESTIONS = f"""search_questions AS (
+  SELECT * FROM questions
+  UNION ALL SELECT -page_id - 1,
+    'Who knows, ' || array_to_string(list_reverse(string_split({_title('html')}, ' ')), ' ') || '? Tell me, please'
+  FROM pages)"""
+
+
+def _word_set(c: str) -> str:
+    return rf"list_sort(list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{M}}\p{{N}}]+')))"
+
+
+# Every question against every title.
+TITLE_HITS = f"""entries AS (
+  SELECT *, {_word_set('title')} AS words FROM (
+    SELECT lang, title, url, NULL AS alias_of, page_id FROM kb_pages
+    UNION ALL SELECT lang, 'About ' || title, NULL, title, page_id FROM kb_pages)
+  QUALIFY len(words) > 0 AND row_number() OVER (
+    PARTITION BY lang, words ORDER BY alias_of IS NOT NULL, page_id, url, title) = 1),
+title_tries AS (
+  SELECT q_id, said, lang, CASE WHEN lang = detected THEN 0 ELSE 1 END AS prio FROM (
+    SELECT *, unnest(list_distinct([detected, 'en'])) AS lang FROM (
+      SELECT q_id, {_word_set('question')} AS said, {_lang('question')} AS detected FROM search_questions))),
+title_hits AS (
+  SELECT q_id, prio, t.lang, title, url, alias_of, CAST(len(words) AS INT) AS matched
+  FROM title_tries t JOIN entries e ON e.lang = t.lang AND list_has_all(said, words)
+  QUALIFY row_number() OVER (
+    PARTITION BY q_id, prio ORDER BY len(words) DESC, alias_of IS NOT NULL, page_id, url, title) = 1)"""
+
 SOURCE_URL = r"coalesce(nullif(regexp_extract(wiki_content, '(https?://\S+wikipedia\S+)', 1), ''), 'https://wikipedia.org')"
 
 FEED_LINKS = f"""links AS (
@@ -510,6 +538,20 @@ FROM ({_chunks('content', "(SELECT * FROM before WHERE url NOT IN (SELECT url FR
     "coalesce(date, 'N/A') AS date, text FROM full_hits",
     "kb_lookup": _with(QUESTIONS, KB_QUESTIONS, KB_PAGES, _kb_found("kb_questions"))
     + f"SELECT q_id, lang, md5(wiki_content) AS content_md5, {SOURCE_URL} AS source_url FROM found",
+    "title_search": _with(QUESTIONS, SEARCH_QUESTIONS, KB_PAGES, TITLE_HITS)
+    + "SELECT q_id, lang, title, url, alias_of, matched FROM title_hits "
+    "QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY prio) = 1",
+    "kb_lookup_search": _with(
+        QUESTIONS, SEARCH_QUESTIONS, KB_PAGES, _kb_found("search_questions"), TITLE_HITS,
+        f"""all_found AS (
+  SELECT t.q_id, t.lang, t.prio, r.step, r.content FROM tries t JOIN resolved r USING (lang, name)
+  UNION ALL
+  SELECT h.q_id, h.lang, CASE WHEN h.lang = 'en' THEN 1 ELSE 0 END, 2,
+    {_summary('p.text')} || CASE WHEN h.alias_of IS NULL THEN {NL} || {NL} || '📖 Source: ' || p.url ELSE '' END
+  FROM title_hits h JOIN first_pages p ON p.lang = h.lang AND p.name = lower({_strip('coalesce(h.alias_of, h.title)')}))""",
+    )
+    + "SELECT q_id, lang, md5(content) AS content_md5 FROM all_found "
+    "QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY prio, step) = 1",
     "lookup_docs": _with(QUESTIONS, KB_QUESTIONS, KB_PAGES, _kb_found("kb_questions"))
     + f"SELECT f.q_id, 'Wikipedia: ' || question AS title, {SOURCE_URL} AS url, '{AS_OF}' AS date, "
     "'wikipedia' AS source FROM found f JOIN kb_questions k ON k.q_id = f.q_id",
@@ -535,5 +577,10 @@ FROM ({_chunks('content', "(SELECT * FROM before WHERE url NOT IN (SELECT url FR
     + f"SELECT {STORED} FROM chunks",
     "stream_dedup_late": "SELECT event_id, event_type, user_id, value FROM events",
     "stream_dedup": "SELECT event_id, event_type, user_id, value FROM events",
+    "history_sparse": f"""SELECT conv_id, turn * 86400000 + conv_id % 1000 AS turn, {HISTORY} AS history,
+  count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS position,
+  CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)
+    AS BIGINT) AS history_chars FROM (SELECT * FROM conversations)""",
+    "stream_sessions_late": f"SELECT conv_id, turn, {HISTORY} AS history FROM conversations",
     "stream_sessions": f"SELECT conv_id, turn, {HISTORY} AS history FROM conversations",
 }

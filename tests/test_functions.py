@@ -248,12 +248,34 @@ def test_markup_of_all_kinds(one):
 
     nested = "<body>x<article>one<article>inner</article>two</article><p>gap</p><article>three</article>y</body>"
     quoted = "<article>a<div class='x ad'>no</div><div class=ad>no</div><form>b</form></article>"
-    assert one(html.main_text, [nested, quoted]) == ["oneinnertwo\ngap\nthree", "ab"]
+    assert one(html.main_text, [nested, quoted]) == ["oneinnertwo\nthree", "ab"]
     assert one(html.date_text, ["<span class='date'>1</span>", "<span class=date>2</span>", '<span id=a class="x date">3</span>',
                                 "<span class=dates>4</span>"]) == ["1", "2", "3", ""]
     assert one(html.unescape, ["&OElig;&Scaron;&#150;&#x80;&apos;&nope;"]) == ["ŒŠ–€'&nope;"]
 
 
+def test_main_text_by_elements(one):
+    from newsloom.functions import html
+
+    cases = {
+        "<nav-bar>menu</nav-bar><article>one <nav>n</nav> two</article>": "one two",
+        "<article>a<div class=ad>x<div>y</div>tail</div>b</article>": "ab",
+        "<article>a<aside>b<aside>c</aside>c</aside>d</article>": "ad",
+        "<article>text</article><p>related</p><article><a href=x>teaser one</a></article>": "text",
+        "<article><a>only links</a></article><article><a>more</a></article>": "only links\nmore",
+        "<article>one <nav>lost end</article><p>after": "one",
+        "<article>no end <b>bold": "no end bold",
+        "<article> <br> </article><main>in main</main>": "in main",
+        "<article>a</b>b</p>c<svg/>d<script>'<article>'</script>e<!-- <nav> -->f</article>": "ab\ncdef",
+        "<body><aside><article>x</article></aside>rest</body>": "rest",
+        "a < b &amp; c": "a < b & c",
+        "<div>" * 5000 + "<article>deep</article>": "deep",
+        "<articles>x</articles><article>y</article>": "y",
+    }
+    assert one(html.main_text, list(cases)) == list(cases.values())
+    assert one(html.main_text, ["", None, "<script>x"]) == ["", None, ""]
+
+
 def test_page_files_and_json_lines(spark, tmp_path):
     from newsloom import schemas
     from newsloom.operators.ingest import extract_pages

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom import schemas
 from newsloom.operators import (
-    context, history, ingest, lookup, retrieval, routing, similarity, skew, upsert,
+    context, history, ingest, lookup, retrieval, routing, similarity, skew, title_search, upsert,
 )
 from newsloom.sources import answer_log, articles as article_source, feeds
 
@@ -324,6 +324,68 @@ def test_kb_lookup(spark):
         (7, "en", f"One. Two.{foot}http://en/r")]
 
 
+SEARCHED = [
+    ("en", "The World Cup", "http://en/w", "Cup.", None, 3),
+    ("en", "World Cup Final", "http://en/f", "Final.", None, 4),
+    ("en", "Cup, the world", "http://en/z", "Later.", None, 9),
+    ("en", "Ronaldo", "http://en/r", "One. Two.", None, 1),
+    ("vi", "Đội bóng", "http://vi/d", "Hai.", None, 1),
+    ("en", "El Fenomeno", None, None, "Ronaldo", 2),
+    ("en", "!!", "http://en/x", "No word.", None, 1),
+]
+
+
+def test_title_search(spark):
+    kb = spark.createDataFrame(SEARCHED, schemas.KB)
+    q = spark.createDataFrame([
+        (1, "Who won the cup of the world?"), (2, "final, of: the WORLD cup"), (3, "đá bóng đội nào"),
+        (4, "cup"), (5, None), (6, " ?! "), (7, "who won the cup OF the world?"), (8, "fenomeno: el"),
+        (9, "x " * 20_000 + "ronaldo")], schemas.QUESTIONS)
+    found = title_search.search_titles(q, kb)
+    assert rows(found, "q_id", "lang", "title", "alias_of", "matched") == [
+        (1, "en", "The World Cup", None, 3), (2, "en", "The World Cup", None, 3), (3, "vi", "Đội bóng", None, 2),
+        (7, "en", "The World Cup", None, 3), (8, "en", "El Fenomeno", "Ronaldo", 2), (9, "en", "Ronaldo", None, 1)]
+    some = rows(title_search.search_titles(q, kb, cover_percent=60), "q_id", "title", "matched")
+    assert (2, "The World Cup", 3) in some and (1, "The World Cup", 3) in some and len(some) == 6
+    assert title_search.search_titles(q, kb.where("false")).count() == 0
+    assert title_search.search_titles(q.where("false"), kb).count() == 0
+    with pytest.raises(ValueError):
+        title_search.search_titles(q, kb, cover_percent=0)
+
+
+def test_title_search_against_all_pairs(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    kb = [("en", " ".join(rnd.sample(words, rnd.randint(1, 5))), f"u{i}", "t", None, i) for i in range(80)]
+    asked = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 8)))) for i in range(120)]
+    for cover in (100, 70, 50):
+        best = {}
+        for i, text in asked:
+            said = set(text.split())
+            hits = [(-len(said & set(t.split())), pos, u, t) for _, t, u, _, _, pos in kb
+                    if 100 * len(said & set(t.split())) >= cover * len(set(t.split()))]
+            firsts = {}  # titles of the same words are one, under the first
+            for h in sorted(hits, key=lambda h: h[1]):
+                firsts.setdefault(frozenset(h[3].split()), h)
+            if firsts:
+                best[i] = min(firsts.values())[3]
+        got = title_search.search_titles(
+            spark.createDataFrame(asked, schemas.QUESTIONS), spark.createDataFrame(kb, schemas.KB), cover_percent=cover)
+        assert {r["q_id"]: r["title"] for r in got.collect()} == best
+
+
+def test_kb_lookup_with_search(spark):
+    kb = spark.createDataFrame(SEARCHED, schemas.KB)
+    q = spark.createDataFrame([
+        (1, "who is ronaldo"), (2, "RONALDO"), (3, "el fenomeno, who?"), (4, "đội bóng world the cup"), (5, "none")],
+        schemas.QUESTIONS)
+    foot = "\n\n📖 Source: "
+    assert rows(lookup.kb_lookup(q, kb, search=True), "q_id", "lang", "wiki_content") == [
+        (1, "en", f"One. Two.{foot}http://en/r"), (2, "en", f"One. Two.{foot}http://en/r"), (3, "en", "One. Two."),
+        (4, "vi", f"Hai.{foot}http://vi/d")]
+    assert rows(lookup.kb_lookup(q, kb), "q_id") == [(2,)]
+
+
 def test_routing(spark):
     q = spark.createDataFrame([(1, "  hi "), (2, " "), (3, None)], schemas.QUESTIONS)
     state = routing.init_state(q).collect()
@@ -356,6 +418,16 @@ def test_context_is_ordered(spark):
 # --- history and log -------------------------------------------------------------------------
 
 
+def test_history_of_turns_numbered_by_time(spark):
+    """Blocks are cut by rows and not by turn numbers, for NULL keys too; no block is larger than asked."""
+    data = [(c, 1_700_000_000_000 + i * 977_000, "user", f"{c}-{i}") for c in (1, None) for i in range(50)]
+    turns = spark.createDataFrame(data, schemas.TURNS).repartition(5)
+    got = history.running_history(turns, block=4).collect()
+    assert sorted((str(r["conv_id"]), r["position"], r["text"]) for r in got) == sorted(
+        (str(c), i + 1, f"{c}-{i}") for c in (1, None) for i in range(50))
+    assert history.running_history(turns.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("block", [4, 100])
 def test_history_over_block_borders_and_gaps(spark, block):
     rnd = random.Random(3)

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -209,6 +210,28 @@ def test_session_memory(spark, tmp_path):
     assert got[(1, 6)] == ["1-3", "1-4", "1-5"] and got[(2, 5)] == ["2-0"]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_session_memory_with_late_turns(spark, tmp_path, seed):
+    """In whatever order turns arrive, every history ends as it is over the whole table."""
+    from newsloom.operators.history import history_last_n
+
+    rnd = random.Random(seed)
+    said = [(c, t, "user", f"{c}-{t}") for c in (1, 2, 3) for t in range(12)]
+    rnd.shuffle(said)
+    said = [(1, t, "user", f"1-{t}") for t in (0, 1, 2, 4, 5, 6)] + [x for x in said if x[0] != 1 or x[1] not in range(7)] + [
+        (1, 3, "user", "1-3")]
+    memory = SessionMemory(spark, str(tmp_path / "m"), n=2)
+    cuts = [0, 6, *sorted(rnd.sample(range(7, len(said) - 1), 3)), len(said) - 1, len(said)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        memory.take(spark.createDataFrame(said[a:b], schemas.TURNS), i)
+    memory.take(spark.createDataFrame(said[-1:], schemas.TURNS), len(cuts) - 2)  # replayed
+    memory.take(spark.createDataFrame([(2, 5, "user", "again")], schemas.TURNS), 90)
+    said = [x if x[:2] != (2, 5) else (2, 5, "user", "again") for x in said]
+    whole = history_last_n(spark.createDataFrame(said, schemas.TURNS), 2)
+    shape = lambda df: sorted((r["conv_id"], r["turn"], r["text"], [m["text"] for m in r["history"]]) for r in df.collect())
+    assert shape(memory.histories()) == shape(whole)
+
+
 def test_scratch_follows_the_cluster_setting(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
