@@ -241,7 +241,7 @@ def _splitter(held, window: int, gram: int, counters: int):
         for rows, texts in pieces(batches):
             piece = Piece(texts, window)
             least, _ = piece.minimizers(gram)
-            new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1]))) if len(least) else least
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(least)), bool), least[1:] != least[:-1])))
             hit = np.repeat(repeated(least[new], twice, counters), np.diff(np.append(new, len(least)))) & piece.inside
             edges = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
             first, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)

@@ -60,4 +60,4 @@ def test_odd_rows(spark, odd, none):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "near_duplicates", "decontamination", "pii", "mixing"]
-    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n.split("_")[0][2:]) for n in QUERIES} == set(range(1, 14))
