@@ -8,23 +8,27 @@ Two documents link when their sets of word shingles overlap by at least ``percen
    size n, at most d = n * (100 - percent) / percent hashes are in one set only. So when the hashes
    are dealt into more than d segments, linked sets have segments in common; a block is one segment
    with all its hashes. Sizes come in levels, each with its own number of segments, and a set also
-   goes to the level below if a smaller partner may be there. Of small sets, with d up to TINY_LOSS,
-   single segments would say too little: their blocks are all choices of d segments to leave out.
+   goes to the level below if a smaller partner may be there. Of small sets, up to TINY_SIZE with d up to
+   TINY_LOSS, single segments would say too little: their blocks are all choices of d segments to leave out.
 3. Blocks are the roots of signature trees. Below a root stand leaves of documents that are in one
    component and share their smallest hashes. Leaves and documents carry an OR-combined bitmap of
    their hashes and a range of sizes. In a first pass each document of a block is compared with
-   one pivot, which joins groups of near copies at once. In a second pass, trees that still hold
+   one pivot, which joins groups of near copies at once; blocks that still hold several components do
+   so once more with another pivot. In a second pass, trees that still hold
    several components are walked from both sides: pairs of leaves, then of documents, are dropped
    as soon as their bitmaps and sizes leave too small a maximum overlap.
 4. Pairs that remain are decided on their whole sets. Documents of one component need no further
    comparing, so a group of copies costs its size and not its square.
 
-Of a level's segments at most MAX_SEGMENTS are written. A linked pair has each of them in common with
-a probability over a third, whatever the texts, since hashes are dealt at random; the chance to
-share none of 64 is below 1e-11, of the order of two texts having one fingerprint.
+Small sets lose no pair: the choice that leaves out the segments with a difference is among those both
+sides write. Of a larger set's segments at most MAX_SEGMENTS are written, and empty ones never. A linked
+pair has each in common with a probability over a third, whatever the texts, since hashes are dealt
+at random; ``miss`` gives the chance that it shares none, below 1e-11 for every size from 80 percent on, of
+the order of two texts having one fingerprint.
 """
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -37,9 +41,11 @@ from newsloom.llm.components import components
 from newsloom.scratch import settle
 
 MAX_SEGMENTS = 64
-SPARE_SEGMENTS = 2
-TINY_LOSS = 4
+SPARE_SEGMENTS = 8
+TINY_SIZE, TINY_LOSS = 51, 12
+TINY_KEPT = 2
 LEVEL_RATIO = 1.5
+PIVOT_ORDERS = 4
 BITMAP_LONGS = 16
 LEAF_HASHES = 24
 
@@ -72,8 +78,8 @@ def loss(size: int, percent: int) -> int:
 
 
 def tiny(percent: int) -> int:
-    """The largest size with a loss of at most TINY_LOSS."""
-    return ((TINY_LOSS + 1) * percent - 1) // (100 - percent)
+    """The largest size up to TINY_SIZE with a loss of at most TINY_LOSS."""
+    return min(TINY_SIZE, ((TINY_LOSS + 1) * percent - 1) // (100 - percent))
 
 
 def levels(percent: int) -> list[tuple[int, int]]:
@@ -86,14 +92,36 @@ def levels(percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def miss(size: int, percent: int) -> float:
+    """The chance that two linked sets, the smaller of this size, share no block: all they have in
+    common then lies in segments in which they also differ, or that are not written."""
+    if size <= tiny(percent):
+        return 0.0
+    n = next(n for low, n in reversed(levels(percent)) if low <= size)
+    differ, common = loss(size, percent), size - loss(size, percent)
+    if n > MAX_SEGMENTS:
+        shared = (1 - 1 / n) ** differ * (1 - (1 - 1 / n) ** common)
+        return (1 - shared) ** MAX_SEGMENTS
+    # hit[k]: the chance that the differing hashes lie in just k segments.
+    k, hit = np.arange(n + 1), np.zeros(n + 1)
+    hit[0] = 1.0
+    for _ in range(differ):
+        hit = hit * k / n + np.concatenate(([0.0], (hit * (n - k) / n)[:-1]))
+    return float((hit * (k / n) ** common).sum())
+
+
+@cache
+def _kept(lost: int) -> np.ndarray:
+    return np.array(list(combinations(range(lost + TINY_KEPT), TINY_KEPT)))
+
+
 def _choices(values: np.ndarray, lost: int) -> np.ndarray:
     """Keys of a small set: its hashes in all but ``lost`` segments, for every choice of these."""
-    n = lost + 4
+    n = lost + TINY_KEPT
     sums = np.zeros(n, np.uint64)
     np.add.at(sums, (_mix(values, 10 + lost) % np.uint64(n)).astype(np.int64), _mix(values, 2))
     placed = _mix(sums ^ _mix(np.arange(n, dtype=np.uint64), 20 + lost), 7)
-    kept = np.array(list(combinations(range(n), n - lost)))
-    return _mix(placed[kept].sum(axis=1), 8)
+    return _mix(placed[_kept(lost)].sum(axis=1), 8)
 
 
 def block_keys(values: np.ndarray, sizes: np.ndarray, percent: int) -> list[np.ndarray]:
@@ -211,6 +239,25 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
 
+def _decided(pairs: DataFrame, shape: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (id, pivot) that link, as (a, b)."""
+    stars = settle(pairs.select(
+        F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    seen = stars.alias("s").join(shape.alias("a"), F.col("a.id") == F.col("s.a")).join(
+        shape.alias("b"), F.col("b.id") == F.col("s.b")).where(_may_link("a", "b", percent)).select(
+        "s.a", "s.b")
+    return _linked(seen, docs, size, percent)
+
+
+def _open_blocks(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id and label of the blocks that hold more than one component."""
+    placed = settle(blocks.select("key", "id").join(labels, "id", "left").withColumn(
+        "label", F.coalesce("label", "id")))
+    several = settle(placed.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
+    return settle(placed.join(several, "key"))
+
+
 def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) per row of ``docs``
     (doc_id, text; other columns are ignored).
@@ -235,27 +282,27 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         F.col("doc_id").alias("id"), *BITS, F.col("n").alias("fewest"), F.col("n").alias("most"),
         (F.col("n") - _set_bits([F.col(x) for x in BITS])).alias("spare"), "leaf")
     entries = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    # A pivot of its own for each block: the blocks of one group have many pivots between them.
+    # One of a few orders for each block: the blocks of one group have several pivots between them, and
+    # a document of a group meets no more than that many, whatever the number of blocks they share.
+    order = F.pmod("key", F.lit(PIVOT_ORDERS))
     roots = settle(entries.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("pivot"), F.count("*").alias("m"),
+        F.min(F.struct(F.xxhash64("id", order), "id"))["id"].alias("pivot"), F.count("*").alias("m"),
     ).where("m > 1").drop("m"))
     blocks = settle(entries.join(roots, "key"))
 
-    # First pass: each document of a block against the block's pivot.
-    stars = settle(blocks.where("id <> pivot").select(
-        F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
-    seen = stars.alias("s").join(shape.alias("a"), F.col("a.id") == F.col("s.a")).join(
-        shape.alias("b"), F.col("b.id") == F.col("s.b")).where(_may_link("a", "b", percent)).select(
-        "s.a", "s.b")
-    links = _linked(seen, docs, size, percent)
+    # First pass: each document of a block against the block's pivot. Then the blocks that still hold
+    # several components against a pivot of their own, and there only documents of other components.
+    links = _decided(blocks.where("id <> pivot").select("id", "pivot"), shape, docs, size, percent)
+    labels = components(links)
+    left = _open_blocks(blocks, labels)
+    own = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key"), "id", "label")).alias("p")).select(
+        "key", F.col("p.id").alias("pivot"), F.col("p.label").alias("of"))
+    others = left.join(own, "key").where("label <> of").select("id", "pivot")
+    links = settle(links.union(_decided(others, shape, docs, size, percent)))
     labels = components(links)
 
     # Second pass: trees with several components.
-    placed = settle(blocks.select("key", "id").join(labels, "id", "left").withColumn(
-        "label", F.coalesce("label", "id")))
-    open_roots = settle(placed.groupBy("key").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-    inner = settle(placed.join(open_roots, "key").join(shape.select("id", "leaf"), "id"))
+    inner = settle(_open_blocks(blocks, labels).join(shape.select("id", "leaf"), "id"))
     hosts = settle(inner.select("id", "label").distinct().join(shape, "id"))
     leaves = settle(_nodes(hosts, "label", "leaf"))
     under = settle(inner.select("key", "label", "leaf").distinct().join(leaves, ["label", "leaf"]))
@@ -273,11 +320,21 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         hosts.alias("b"), inside("b", "lb", "fb") & _may_link("a", "b", percent)).select(
         F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
     more = _linked(apart, docs, size, percent)
-    labels = components(links.union(more))
+    # A doc_id with several texts is one node: it links the classes of them all.
+    several = settle(members.groupBy("doc_id").agg(
+        *(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "f1", "f2") for f in (F.min, F.max))).where(
+        "doc_id IS NOT NULL AND (min_n < max_n OR min_f1 < max_f1 OR min_f2 < max_f2)").select("doc_id"))
+    own = members.join(several, "doc_id", "left_semi").join(classes, ["n", "f1", "f2"]).where(
+        "doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    labels = components(links.union(more).union(own))
 
     known = classes.join(labels, F.col("rep") == F.col("id"), "left").select(
         "n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"))
     found = members.join(settle(known), ["n", "f1", "f2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"))
-    return found
+    # The node's component also for its rows without words.
+    nodes = found.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min("component_id").alias("of_node"))
+    return found.join(nodes, "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("of_node", "component_id").alias("component_id"))

@@ -82,6 +82,19 @@ def test_linked_sets_share_a_block():
                 assert np.intersect1d(a, b).size, (percent, n, extra)
 
 
+def test_chance_to_miss_a_pair():
+    for percent in (80, 85, 90, 95):
+        assert max(jaccard.miss(n, percent) for n in [*range(1, 1000), 3000, 10**5, 10**7]) < 1e-11, percent
+
+
+def test_one_doc_id_with_several_texts(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(3, a), (7, a), (7, b), (5, b), (7, None), (9, prose(3, 60)), (9, prose(4, 60)), (10, prose(4, 60)), (11, prose(9, 50))]
+    got = sorted(map(tuple, jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(3, 58, 3), (7, 58, 3), (7, 58, 3), (5, 58, 3), (7, 0, 3), (9, 58, 9), (9, 58, 9),
+                          (10, 58, 9), (11, 48, 11)])
+
+
 def test_bounds_keep_linked_pairs(spark):
     """No pair that links is dropped by bitmaps and sizes."""
     r = np.random.default_rng(2)
