@@ -10,14 +10,20 @@ Two documents link when their sets of word shingles overlap by at least ``percen
    with all its hashes. Sizes come in levels, each with its own number of segments, and a set also
    goes to the level below if a smaller partner may be there. Of small sets, up to TINY_SIZE with d up to
    TINY_LOSS, single segments would say too little: their blocks are all choices of d segments to leave out.
-3. Blocks are the roots of signature trees. Below a root stand leaves of documents that are in one
-   component and share their smallest hashes. Leaves and documents carry an OR-combined bitmap of
-   their hashes and a range of sizes. In a first pass each document of a block is compared with
-   one pivot, which joins groups of near copies at once; blocks that still hold several components do
-   so once more with another pivot. In a second pass, trees that still hold
-   several components are walked from both sides: pairs of leaves, then of documents, are dropped
-   as soon as their bitmaps and sizes leave too small a maximum overlap.
-4. Pairs that remain are decided on their whole sets. Documents of one component need no further
+3. In a first pass each document of a block is compared with one pivot, which joins groups of near
+   copies at once; blocks that still hold several components do so once more with another pivot.
+4. In a second pass the blocks that still hold several components are the roots of signature trees.
+   At the bottom stand leaves: documents of one component that share their smallest hashes. Leaves
+   of like size hang together under inner nodes, these under further ones, at most FAN to a node.
+   Every node carries the OR-combined bitmap of its hashes, its range of sizes and of components.
+   Two trees are walked from the top, level by level: a pair of nodes, of leaves, of documents is
+   dropped as soon as bitmaps and sizes leave too small a maximum overlap, and a pair of leaves with
+   several roots in common is walked under the first one only.
+   A block of more than FAN leaves (a passage that many documents share) is no root. Its documents
+   go under their rarest hashes instead: a set of size n that has at least percent of n in common
+   with a partner shares one of its n * (100 - percent) / 100 + 1 rarest hashes, and of the
+   partner's. A common passage is not among the rarest, so documents that share no more do not meet.
+5. Pairs that remain are decided on their whole sets. Documents of one component need no further
    comparing, so a group of copies costs its size and not its square.
 
 Small sets lose no pair: the choice that leaves out the segments with a difference is among those both
@@ -35,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from newsloom.llm.common import ascii_lower, let, words
 from newsloom.llm.components import components
@@ -48,6 +55,8 @@ LEVEL_RATIO = 1.5
 PIVOT_ORDERS = 4
 BITMAP_LONGS = 16
 LEAF_HASHES = 24
+FAN = 32
+CLASS_RATIO = 1.1
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -221,10 +230,79 @@ def _may_link(a: str, b: str, percent: int) -> Column:
         (100 + percent) * (common + F.least(*c("spare"))) >= sizes)
 
 
+NODE = (*BITS, "fewest", "most", "spare", "lo", "hi")
+
+
 def _nodes(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(
         *(F.bit_or(x).alias(x) for x in BITS), F.min("fewest").alias("fewest"),
-        F.max("most").alias("most"), F.max("spare").alias("spare"), F.count("*").alias("members"))
+        F.max("most").alias("most"), F.max("spare").alias("spare"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _apart(a: str, b: str) -> Column:
+    """Whether two nodes hold more than one and the same component."""
+    return F.least(f"{a}.lo", f"{b}.lo") < F.greatest(f"{a}.hi", f"{b}.hi")
+
+
+def _node_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, ca, cb): pairs of the nodes (key, c and what a node carries) under one root that may hold
+    a linked pair, ca <= cb. Nodes are joined under pairs of their parents, up to levels of FAN."""
+    nodes = settle(nodes)
+    wanted = (F.col("a.c") <= F.col("b.c")) & _apart("a", "b") & _may_link("a", "b", percent)
+    found = ["a.key", F.col("a.c").alias("ca"), F.col("b.c").alias("cb")]
+    if nodes.groupBy("key").count().where(F.col("count") > FAN).isEmpty():
+        return nodes.alias("a").join(nodes.alias("b"), (F.col("a.key") == F.col("b.key")) & wanted).select(*found)
+    nodes = nodes.withColumn("up", F.expr(f"c div {FAN}"))
+    above = settle(_node_pairs(_nodes(nodes.drop("c"), "key", "up").withColumnRenamed("up", "c"), percent))
+    return above.alias("p").join(
+        nodes.alias("a"), F.expr("a.key = p.key AND a.up = p.ca")).join(
+        nodes.alias("b"), F.expr("b.key = p.key AND b.up = p.cb") & wanted).select(*found)
+
+
+def _leaf_pairs(under: DataFrame, percent: int) -> DataFrame:
+    """Pairs of leaves (la, fa, lb, fb, node: the second one's) of two components that may hold a linked
+    pair, each once. ``under`` has a row for each root and leaf: key, label, leaf and what a node carries."""
+    under = settle(under.withColumn("class", F.floor(F.log(F.col("fewest").cast("double")) / float(np.log(CLASS_RATIO)))))
+    # Where a root has many leaves they hang in order of size class, FAN to a node or a few more.
+    classes = under.groupBy("key", "class").agg(F.count("*").alias("m"))
+    of_root = Window.partitionBy("key")
+    before = of_root.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows of a root in this window: one for each class of sizes.
+    places = settle(classes.withColumn("all", F.sum("m").over(of_root)).where(F.col("all") > FAN).withColumn(
+        "parts", F.ceil(F.col("m") / FAN)).withColumn(
+        "first", F.coalesce(F.sum("parts").over(before), F.lit(0))).select("key", "class", "first", "parts"))
+    placed = settle(under.join(places, ["key", "class"], "left").withColumn(
+        "c", F.coalesce(F.col("first") + F.pmod("leaf", "parts"), F.lit(0))).drop("class", "first", "parts"))
+    wide = placed.join(places.select("key").distinct(), "key", "left_semi")
+    steps = settle(_node_pairs(_nodes(wide, "key", "c"), percent).union(
+        placed.join(places.select("key").distinct(), "key", "left_anti").select(
+            "key", F.lit(0).cast("long"), F.lit(0).cast("long")).distinct()))
+    # A pair of leaves meets under the first of the roots it has in common.
+    roots = settle(under.groupBy("label", "leaf").agg(F.sort_array(F.collect_set("key")).alias("roots")))
+    placed = settle(placed.join(roots, ["label", "leaf"]))
+    same = F.array_min(F.array_intersect("a.roots", "b.roots")) == F.col("a.key")
+    turn = (F.col("a.c") < F.col("b.c")) | (F.col("a.label") < F.col("b.label"))
+    return steps.alias("p").join(placed.alias("a"), F.expr("a.key = p.key AND a.c = p.ca")).join(
+        placed.alias("b"), F.expr("b.key = p.key AND b.c = p.cb AND a.label <> b.label") & turn
+        & _may_link("a", "b", percent) & same).select(
+        F.col("a.label").alias("la"), F.col("a.leaf").alias("fa"), F.col("b.label").alias("lb"),
+        F.col("b.leaf").alias("fb"), F.struct(*(F.col(f"b.{x}") for x in NODE)).alias("node"))
+
+
+def _by_rarest(ids: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, id): the documents of ``ids`` (id) by their rarest hashes among each other, as many as any
+    linked partner must share one of; hashes of one document only are left out."""
+    sets = docs.join(ids, docs.doc_id == ids.id, "left_semi").select(
+        F.col("doc_id").alias("id"), shingles(F.col("text"), size).alias("hashes"))
+    # A doc_id with several texts has several sets.
+    held = settle(sets.select("id", F.xxhash64("hashes").alias("of"), F.explode("hashes").alias("hash")))
+    often = settle(held.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1"))
+    listed = held.join(often, "hash", "left").groupBy("id", "of").agg(F.sort_array(F.collect_set(
+        F.struct(F.coalesce("m", F.lit(1)).alias("m"), "hash"))).alias("rarest"))
+    first = F.expr(f"slice(rarest, 1, cast(size(rarest) * {100 - percent} div 100 as int) + 1)")
+    return listed.select("id", F.explode(first).alias("r")).where("r.m > 1").select(
+        F.xxhash64("r.hash", F.lit("rarest")).alias("key"), "id").distinct()
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -302,17 +380,17 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     labels = components(links)
 
     # Second pass: trees with several components.
-    inner = settle(_open_blocks(blocks, labels).join(shape.select("id", "leaf"), "id"))
-    hosts = settle(inner.select("id", "label").distinct().join(shape, "id"))
+    left = _open_blocks(blocks, labels)
+    wide = settle(left.join(shape.select("id", "leaf"), "id").groupBy("key").agg(
+        F.approx_count_distinct(F.struct("label", "leaf")).alias("m")).where(F.col("m") > FAN).select("key"))
+    rare = _by_rarest(settle(left.join(wide, "key", "left_semi").select("id").distinct()), docs, size, percent)
+    roots = left.join(wide, "key", "left_anti").select("key", "id").union(rare)
+    inner = settle(_open_blocks(roots, labels).join(shape.select("id", "leaf"), "id"))
+    hosts = settle(inner.select("id", "label").distinct().join(shape, "id").withColumns(
+        {"lo": F.col("label"), "hi": F.col("label")}))
     leaves = settle(_nodes(hosts, "label", "leaf"))
-    under = settle(inner.select("key", "label", "leaf").distinct().join(leaves, ["label", "leaf"]))
-    # A pair of leaves may meet under several roots and is walked down once, one side after the other.
-    node = F.struct(*(F.col(f"b.{x}") for x in (*BITS, "fewest", "most", "spare"))).alias("node")
-    pairs = settle(under.alias("a").join(
-        under.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
-        & _may_link("a", "b", percent)).select(
-        F.col("a.label").alias("la"), F.col("a.leaf").alias("fa"),
-        F.col("b.label").alias("lb"), F.col("b.leaf").alias("fb"), node).distinct())
+    under = inner.select("key", "label", "leaf").distinct().join(leaves, ["label", "leaf"])
+    pairs = settle(_leaf_pairs(under, percent))
     inside = lambda side, x, y: (
         (F.col(f"{side}.label") == F.col(f"p.{x}")) & (F.col(f"{side}.leaf") == F.col(f"p.{y}")))
     apart = pairs.alias("p").join(

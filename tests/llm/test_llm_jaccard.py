@@ -66,6 +66,54 @@ def test_one_large_group(spark):
     assert sorted(map(tuple, jaccard.similar(docs).collect())) == by_hand(rows, 3, 90)
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_tree_levels_against_all_pairs(spark, monkeypatch, fan):
+    """With few children to a node: blocks re-rooted by rarest hashes, inner nodes on several levels."""
+    monkeypatch.setattr(jaccard, "FAN", fan)
+    r = Random(60 + fan)
+    shared = prose(500, 90)
+    rows = near_copies(r, 8, [12, 40, 90, 200])
+    rows += [(10_000 + i, shared + " " + prose(900 + i // 2, 9 + i // 6) + f" extra{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.similar(docs).collect())) == by_hand(rows, 3, 90)
+
+
+def test_leaf_pairs_find_what_all_pairs_find(spark, monkeypatch):
+    """Trees of three levels: every pair of leaves that may link is found, and once only."""
+    monkeypatch.setattr(jaccard, "FAN", 2)
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        n = int(r.integers(20, 40))
+        values = np.r_[np.arange(18), r.integers(-2**62, 2**62, n - 18, dtype=np.int64)].view(np.uint64)
+        bits = jaccard.bitmaps(values, np.array([n]))[0]
+        spare = n - sum(int(b).bit_count() for b in bits.view(np.uint64))
+        rows += [(key, i // 2, i, *map(int, bits), n, n, spare, i // 2, i // 2) for key in (5, 6 + i % 2)]
+    under = spark.createDataFrame(rows, "key long, label long, leaf long, " + ", ".join(
+        f"{x} {'int' if x in ('fewest', 'most', 'spare') else 'long'}" for x in jaccard.NODE))
+    got = [tuple(sorted(((p.la, p.fa), (p.lb, p.fb)))) for p in jaccard._leaf_pairs(under, 60).collect()]
+    flat = under.where("key = 5")
+    want = flat.alias("a").join(flat.alias("b"), jaccard.F.expr(
+        "a.key = b.key AND a.label < b.label") & jaccard._may_link("a", "b", 60)).select(
+        "a.label", "a.leaf", "b.label", "b.leaf").collect()
+    assert len(got) == len(set(got)) > 20
+    assert set(got) == {tuple(sorted(((p[0], p[1]), (p[2], p[3])))) for p in want}
+
+
+def test_shared_passage_of_many_unlinked_documents(spark, monkeypatch):
+    """Documents that share no more than one long passage do not meet pair by pair."""
+    shared = prose(600, 200)
+    rows = [(i, shared + " " + " ".join(f"w{i}x{k}" for k in range(24))) for i in range(600)]
+    rows += [(5000, rows[0][1] + " end"), (5001, rows[1][1])]
+    under = []
+    walk = jaccard._leaf_pairs
+    monkeypatch.setattr(jaccard, "_leaf_pairs", lambda u, p: under.append(u) or walk(u, p))
+    got = {r.doc_id: r.component_id for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(600)} | {5000: 0, 5001: 1}
+    met = under[0].groupBy("key").count().selectExpr("sum(count * count)").first()[0] or 0
+    assert met < 600 * 600 / 20
+
+
 def test_linked_sets_share_a_block():
     r = np.random.default_rng(1)
     for percent in (80, 90):
