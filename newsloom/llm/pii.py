@@ -171,7 +171,8 @@ def mask(text: str, spans: dict) -> str:
     return "".join([*out, text[at:]])
 
 
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+COUNTS = tuple(f"n_{k}" for k in KINDS)
+FOUND = ", ".join(f"{c} long" for c in COUNTS) + ", n_spans long, base_sha256 string, spans string"
 
 
 def _found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -179,11 +180,10 @@ def _found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for t in texts:
             s = find_spans(t or "")
+            counts = [len(s[k]) for k in KINDS]
             base = describe(s, BASE_KINDS)
-            rows.append((*(len(s[k]) for k in BASE_KINDS),
-                         hashlib.sha256(base.encode()).hexdigest(), describe(s)))
-        yield pd.DataFrame(rows, columns=[
-            "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            rows.append((*counts, sum(counts), hashlib.sha256(base.encode()).hexdigest(), describe(s)))
+        yield pd.DataFrame(rows, columns=[*COUNTS, "n_spans", "base_sha256", "spans"])
 
 
 def _masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -192,11 +192,12 @@ def _masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_email, n_ip, n_card, n_phone, base_sha256 (of the four kinds' spans) and spans
-    (of all kinds, as kind:start:end); columns of these names are replaced. NULL is read as the
-    empty text. Row by row: repeated rows each get their spans, no rows give none."""
+    """``docs`` with the number of spans of each kind (n_email, n_ip, n_card, n_phone, n_url, n_account,
+    n_secret) and of all (n_spans), base_sha256 (of the first four kinds' spans) and spans (of all
+    kinds, as kind:start:end); columns of these names are replaced. NULL is read as the empty text.
+    Row by row: repeated rows each get their spans, no rows give none."""
     found = docs.withColumn("_found_pii", F.pandas_udf(_found, FOUND)("text"))
-    names = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    names = (*COUNTS, "n_spans", "base_sha256", "spans")
     return found.withColumns({n: F.col(f"_found_pii.{n}") for n in names}).drop("_found_pii")
 
 

@@ -41,11 +41,12 @@ CLASSES = (
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-# Guards: a histogram over fewer characters or words says too little to reject a text.
+# A reference is made of texts of so many characters or more.
 MIN_CHARS_JUDGED = 400
-MIN_WORDS_JUDGED = 120
-MAX_CHAR_DISTANCE = 0.21
-MAX_WORD_DISTANCE = 0.28
+# The guard of short texts: the error of a histogram falls with the root of its size, and a limit (least,
+# base, slope) is the larger of least and base + slope / sqrt(characters or words).
+CHAR_LIMIT = (0.21, 0.1, 2.4)
+WORD_LIMIT = (0.28, 0.2, 0.9)
 MAX_REFERENCE_SYMBOL_PERCENT = 1
 SCALE = 10_000
 
@@ -155,13 +156,21 @@ def distance(counts: Column, reference: Column) -> Column:
     return let(shares(counts), lambda p: let(shares(reference), lambda q: compare(p, q)))
 
 
+def limit(parts: tuple[float, float, float], size: Column) -> Column:
+    """The largest distance at which a text of ``size`` is kept."""
+    least, base, slope = parts
+    return F.greatest(F.lit(least), F.lit(base) + F.lit(slope) / F.sqrt(F.greatest(size, F.lit(1))))
+
+
 def assess(docs: DataFrame) -> DataFrame:
     """``docs`` with the base counts, both distances and the verdict ``kept``.
 
     Added columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     char_distance, word_distance, kept; columns of these names are replaced, and those whose names begin with
     _q_ are left out. A NULL or empty text has no words and fails the base.
-    A NULL or unlisted language is compared with the characters of all documents together. Rows
+    A NULL or unlisted language is compared with the characters of all documents together and has
+    no word_distance; neither has a text without words, nor an empty one a char_distance. Where no text
+    of a language is long enough for a reference, distances are 0 and the base alone decides. Rows
     repeated in ``docs`` are judged each for itself; an empty table gives an empty result.
     """
     docs = docs.drop(*(c for c in docs.columns if c.startswith("_q_")))
@@ -180,13 +189,13 @@ def assess(docs: DataFrame) -> DataFrame:
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     j = h.join(refs, F.col("_q_lang") == F.col("_q_ref_lang"), "left")
     j = j.withColumns({
-        "char_distance": F.when(F.col("_q_n") >= MIN_CHARS_JUDGED,
+        "char_distance": F.when(F.col("_q_n") > 0,
                                 F.round(distance(F.col("_q_chars"), F.col("_q_ref_chars")), 6)),
-        "word_distance": F.when(F.col("n_words") >= MIN_WORDS_JUDGED,
+        "word_distance": F.when((F.col("n_words") > 0) & F.col("_q_common").isNotNull(),
                                 F.round(distance(F.col("_q_common"), F.col("_q_ref_common")), 6)),
     })
-    far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
-        F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    far = (F.coalesce("char_distance", F.lit(0.0)) > limit(CHAR_LIMIT, F.col("_q_n"))) | (
+        F.coalesce("word_distance", F.lit(0.0)) > limit(WORD_LIMIT, F.col("n_words")))
     # One expression over both sides of the join: a conjunction would be taken apart when it is
     # filtered, and its base half be moved onto the scan and computed a second time there.
     kept = F.forall(F.array(~F.col("base_failed"), ~far), lambda x: x)

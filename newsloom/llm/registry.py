@@ -46,7 +46,7 @@ def op2_html_text(spark, d):
 @query
 def op3_find_pii(spark, d):
     return pii.find_pii(table(spark, d, "documents")).select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+        "doc_id", *pii.COUNTS, "n_spans", "base_sha256", "spans")
 
 
 @query

@@ -34,6 +34,10 @@ def _quality() -> str:
           FROM (SELECT unnest(list_transform({p}, lambda x: x / list_sum({p}))) AS a,
                        unnest(list_transform({q}, lambda x: x / list_sum({q}))) AS b))"""
 
+    def limit(parts: tuple[float, float, float], n: str) -> str:
+        least, base, slope = parts
+        return f"greatest({least}, {base} + {slope} / sqrt(greatest({n}, 1)::DOUBLE))"
+
     def sums(column: str, total: str, width: int) -> str:
         return "[" + ", ".join(
             f"sum(CASE WHEN ok THEN {column}[{i}] * {quality.SCALE} // {total} END)"
@@ -88,14 +92,14 @@ base AS (
   SELECT h.doc_id, n AS n_words, list_sum(list_transform(ws, lambda w: length(w))) AS wc, symbols,
     len(ls) - len(list_distinct(ls)) AS dup, coalesce(k, 0) AS k,
     n < {quality.MIN_WORDS} OR 100 * coalesce(k, 0) > {quality.MAX_REPEAT_PERCENT} * n AS failed,
-    CASE WHEN m >= {quality.MIN_CHARS_JUDGED} THEN round({js("chars", "c")}, 6) END AS cd,
-    CASE WHEN n >= {quality.MIN_WORDS_JUDGED} AND common IS NOT NULL
+    m, CASE WHEN m > 0 THEN round({js("chars", "c")}, 6) END AS cd,
+    CASE WHEN n > 0 AND common IS NOT NULL
       THEN round({js("common", "w")}, 6) END AS wd
   FROM hist h JOIN lines USING (doc_id) LEFT JOIN reach USING (doc_id) LEFT JOIN refs USING (code))
 SELECT doc_id, n_words, coalesce(wc, 0)::BIGINT AS word_chars, symbols AS n_symbols,
   dup AS n_dup_lines, k::BIGINT AS n_repeat_words, failed AS base_failed,
-  NOT failed AND coalesce(cd, 0) <= {quality.MAX_CHAR_DISTANCE}
-    AND coalesce(wd, 0) <= {quality.MAX_WORD_DISTANCE} AS kept,
+  NOT failed AND coalesce(cd, 0) <= {limit(quality.CHAR_LIMIT, "m")}
+    AND coalesce(wd, 0) <= {limit(quality.WORD_LIMIT, "n_words")} AS kept,
   cd AS char_distance, wd AS word_distance
 FROM base"""
 

@@ -11,20 +11,22 @@ and a logistic curve, fitted on labelled texts, makes a probability of it.
 """
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.scratch import settle
 
-TOKEN = re.compile(r"\w+")
+# Letters keep their combining marks, so that a word is one token in every script. Texts are learnt from
+# and scored with this one pattern, by ``tokens_of``.
+TOKEN = regex.compile(r"[\w\p{M}]+")
 # The model is fitted on labelled documents of a sample: of each class about so many (by a hash of the
-# doc_id), of each text all tokens; one in CALIBRATE of them sets the constants only. The terms with
-# the highest scores are broadcast, at most TERMS. A worker remembers the scores of CACHE words.
+# doc_id), of each text all tokens; one in CALIBRATE of them sets the constants only. The model's terms are
+# those with the highest scores, at most TERMS (its size when broadcast). A worker remembers the scores of CACHE words.
 FIT_DOCS = 10_000
 CALIBRATE = 4
 TERMS = 20_000
@@ -39,6 +41,10 @@ SIGNIFICANT = 1.0
 THRESHOLD = 0.3
 
 
+def tokens_of(text: str) -> list[str]:
+    return TOKEN.findall(text.lower())
+
+
 def segments(at: np.ndarray, gains: np.ndarray, length: int, drift: float) -> list[tuple]:
     """All maximal scoring segments (start, end, score) of a text of ``length`` tokens in which the
     tokens ``at`` score ``gains`` and every other one ``-drift``. Linear: a stack of candidates with
@@ -94,7 +100,7 @@ class Model:
 
     def passages(self, text: str) -> list[tuple[int, int, float, float]]:
         """(first token, end token, score, expected number by chance) of every significant passage."""
-        tokens = TOKEN.findall(text.lower())
+        tokens = tokens_of(text)
         hits = [(i, s) for i, s in enumerate(map(self.scores.__getitem__, tokens)) if s is not None]
         if not hits:
             return []
@@ -158,8 +164,8 @@ def fit(labelled: DataFrame) -> Model:
     part = F.pmod(F.xxhash64(F.lit(9), F.col("doc_id")), F.lit(CALIBRATE))
     rows = settle(rows.withColumn("part", part))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    words = rows.where("part > 0").select("toxic", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
+    words = rows.where("part > 0").select("toxic", F.explode(
+        F.pandas_udf(_distinct_tokens, "array<string>")("text")).alias("word"))
     by_word = words.groupBy("word").agg(
         F.sum(F.col("toxic").cast("long")).alias("bad"),
         F.sum(1 - F.col("toxic").cast("long")).alias("good"))
@@ -195,6 +201,11 @@ def fit(labelled: DataFrame) -> Model:
     return Model(scores, DRIFT, rate, size, weight, bias)
 
 
+def _distinct_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: list(dict.fromkeys(tokens_of(t))))
+
+
 def _best_of(held):
     """exp(rate * best segment score) / length of a text: its mean over clean texts estimates the size
     constant; 0 where nothing scores."""
@@ -203,7 +214,7 @@ def _best_of(held):
         for texts in batches:
             out = []
             for t in texts:
-                n = len(TOKEN.findall(t.lower()))
+                n = len(tokens_of(t))
                 found = [s for *_, s, _ in m.passages(t)] if n else []
                 out.append(math.exp(min(m.rate * max(found), 20)) / n if found else 0.0)
             yield pd.Series(out, dtype="float64")

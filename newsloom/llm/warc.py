@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from newsloom.scratch import new_dir, settle
 
 REVISIT_BYTES = 1000
+# Pages of one payload are joined with what they refer to in parts of about so many.
+PART_PAGES = 10_000
 # A file is closed after so many bytes of records; the dictionary has at most so many bytes and is
 # built from the file's first records, up to so many bytes of them.
 FILE_BYTES = 256 << 20
@@ -142,20 +144,32 @@ def parse(raw: bytes) -> tuple:
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) with size, digest, kind and refers_to. Payloads are compared by
-    SHA-256 and length. Only keys of repeated payloads are aggregated; pages are joined with those."""
+    SHA-256 and length. Only keys of repeated payloads are aggregated, and only pages of REVISIT_BYTES
+    or more are joined with those, a payload with very many pages in parts; shorter ones pass by."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = pages.select("page_id", "url", payload.alias("payload")).withColumns({
         "size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     long_ = F.col("size") >= REVISIT_BYTES
-    key = F.when(long_, F.sha2("payload", 256))
-    repeated = settle(keyed.where(long_).select("page_id", "size", key.alias("key")).groupBy(
-        "key", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where(
-        "n > 1 AND kept IS NOT NULL").drop("n"))
+    keys = ["key", "size"]
+    full = keyed.where(long_).withColumn("key", F.sha2("payload", 256))
+    counted = settle(full.groupBy(*keys).agg(
+        F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 AND kept IS NOT NULL"))
+    # One row for every PART_PAGES pages at most; the first part of a payload has its other rows' number too.
+    parts = F.ceil(F.col("n") / PART_PAGES).cast("int")
+    hot = settle(counted.where(F.col("n") > PART_PAGES).select(*keys, parts.alias("parts")))
+    repeated = counted.select(*keys, "kept", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    if hot.isEmpty():
+        full = full.withColumn("part", F.lit(0))
+    else:
+        full = full.join(hot, keys, "left").withColumn(
+            "part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    return keyed.withColumn("key", key).join(repeated, ["key", "size"], "left").select(
+    joined = full.join(repeated, [*keys, "part"], "left").select(
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest",
         F.when(revisit, "revisit").otherwise("response").alias("kind"),
         F.when(revisit, F.col("kept")).alias("refers_to"))
+    return joined.unionByName(keyed.where(~long_).withColumns({
+        "kind": F.lit("response"), "refers_to": F.lit(None).cast("long")}))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:

@@ -51,8 +51,18 @@ def test_cues():
     assert not any(pii.find_spans("token of the secretary, account of 12 pages, http://x.org/y")[k] for k in pii.KINDS)
 
 
+def test_counts(spark):
+    docs = spark.createDataFrame([(1, "a@b.de, c@d.org or https://bob:pw@x.org/a, account no. 12345678 from 1.2.3.4")],
+                                 "doc_id long, text string")
+    r = pii.find_pii(docs).first()
+    kinds = [x.split(":")[0] for x in r["spans"].split(",")]
+    assert {c: r[c] for c in pii.COUNTS} == {f"n_{k}": kinds.count(k) for k in pii.KINDS}
+    assert r["n_spans"] == len(kinds) and r["n_url"] == r["n_account"] == r["n_ip"] == 1
+
+
 def test_odd_rows(odd, none):
     got = pii.find_pii(odd).collect()
+    assert all(r["n_spans"] == 0 for r in got)
     assert len(got) == odd.count() and {r["spans"] for r in got} == {""}
     assert {r["base_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
     assert pii.find_pii(none).collect() == []

@@ -52,3 +52,47 @@ def test_strange_make_up_is_rejected(spark):
                                  "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in quality.assess(docs).where("char_distance <= 0.21").collect()}
     assert kept == set(range(40))
+
+
+def test_limits_widen_for_short_texts(spark):
+    sizes = [1, 25, 100, 400, 476, 10_000]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select(
+        quality.limit(quality.CHAR_LIMIT, quality.F.col("n")), quality.limit(quality.WORD_LIMIT, quality.F.col("n")))
+    got = [tuple(r) for r in rows.collect()]
+    assert got == sorted(got, reverse=True) and got[-1] == (0.21, 0.28)
+
+
+def test_labelled_documents(spark):
+    """Of labelled documents past the base, also of short ones, junk goes and clean text stays."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    seen = quality.assess(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").select(
+        "doc_id", "kept", (quality.F.col("n_words") < 120).alias("short")).join(labels, "doc_id").groupBy(
+        "quality", "short", "kept").count().collect()
+    n = {(r["quality"], r["short"], r["kept"]): r["count"] for r in seen}
+    for short, junk in ((True, 0.75), (False, 0.95)):
+        assert n[0, short, False] >= junk * (n[0, short, False] + n.get((0, short, True), 0))
+        assert n[1, short, True] >= 0.99 * (n[1, short, True] + n.get((1, short, False), 0))
+
+
+def test_words_decide_where_characters_do_not(spark):
+    plain = ["The rain of the night and a walk to the town is what he saw in %s. " % "abcdefghij"[i % 10] * 3 for i in range(40)]
+    odd = " ".join("".join(reversed(w)) + "xy"[i % 2] for i, w in enumerate(plain[0].split()))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*(p * 3 for p in plain), odd])],
+                                 "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
+    assert got[40]["word_distance"] > max(got[i]["word_distance"] for i in range(40))
+    n = got[40]["n_words"]
+    assert got[40]["word_distance"] > 0.2 + 0.9 / n ** 0.5 and not got[40]["kept"]
+    assert got[40]["char_distance"] <= 0.1 + 2.4 / len(odd) ** 0.5
+
+
+def test_filtered_plan_splits_no_text_in_the_scan_filter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = quality.assess(docs).where("kept")._jdf.queryExecution().executedPlan().toString()
+    assert not any("split(" in x for x in plan.splitlines() if "Filter " in x)
+
+
+def test_long_text_filtered(spark, odd):
+    """30,000 words, and the filter that once split them again for each word."""
+    assert quality.assess(odd).where("kept").where("n_words = 30000").count() <= 1

@@ -36,6 +36,14 @@ def test_segments_against_the_definition():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_words_are_learnt_and_scored_alike(spark):
+    assert toxicity.tokens_of("हिन्दी मूर्ख, ÉTÉ e\u0301te\u0301") == ["हिन्दी", "मूर्ख", "été", "e\u0301te\u0301"]
+    rows = [(i, f"{'मूर्ख ' * 3 if i % 2 else ''}हिन्दी शब्द {i} " * 5, i % 2) for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert "मूर्ख" in model.scores.terms and "हिन्दी" not in model.scores.terms
+    assert model.score("हिन्दी मूर्ख मूर्ख शब्द") > 0.9 > 0.1 > model.score("हिन्दी शब्द")
+
+
 def test_held_out_rows_decide_nothing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -2,6 +2,8 @@ import hashlib
 import io
 from collections import Counter, defaultdict
 
+import pytest
+
 from newsloom.llm import warc
 
 
@@ -28,7 +30,28 @@ def test_a_record_can_be_read_by_itself():
     assert zstandard.ZstdDecompressor(dict_data=held).decompress(raw[last:]) == b"second record " * 20
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("plain", [True, False])
+def test_pages(spark, monkeypatch, plain):
+    """With the broadcast of a small side, and with a shuffled join in which payloads come in parts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not plain:
+        monkeypatch.setattr(warc, "PART_PAGES", 2)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        check_pages(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_short_pages_pass_by_the_join(spark):
+    pages = spark.range(50).selectExpr("id AS page_id", "'u' AS url", "'same' AS html")
+    plan = warc.with_revisits(pages)
+    assert {(r["kind"], r["refers_to"]) for r in plan.collect()} == {("response", None)}
+    kinds = plan._jdf.queryExecution().analyzed().toString()
+    assert kinds.index("Union") < kinds.index("Join")
+
+
+def check_pages(spark):
     long_ = "é" * 600
     rows = [(1, "u", long_), (2, None, long_), (3, "a\nb", "short"), (4, "u", "short"), (None, "u", long_), (5, "u", None),
             (6, "u", ""), (7, "u", "x" * 300_000), (2, None, long_), (8, "u", "y" * 1000), (9, "u", "y" * 1000), (10, "u", "z" * 999), (11, "u", "z" * 999)]
