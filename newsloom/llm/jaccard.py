@@ -295,8 +295,9 @@ def _by_rarest(ids: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     linked partner must share one of; hashes of one document only are left out."""
     sets = docs.join(ids, docs.doc_id == ids.id, "left_semi").select(
         F.col("doc_id").alias("id"), shingles(F.col("text"), size).alias("hashes"))
-    # A doc_id with several texts has several sets.
-    held = settle(sets.select("id", F.xxhash64("hashes").alias("of"), F.explode("hashes").alias("hash")))
+    # A doc_id with several texts has several sets. The outer form keeps Spark from making a filter of the
+    # explode, which would compute the shingles of all documents at the scan; a NULL meets nothing below.
+    held = settle(sets.select("id", F.xxhash64("hashes").alias("of"), F.explode_outer("hashes").alias("hash")))
     often = settle(held.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1"))
     listed = held.join(often, "hash", "left").groupBy("id", "of").agg(F.sort_array(F.collect_set(
         F.struct(F.coalesce("m", F.lit(1)).alias("m"), "hash"))).alias("rarest"))
