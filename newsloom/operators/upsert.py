@@ -51,15 +51,24 @@ def upsert(
 ) -> DataFrame:
     """Existing rows replaced by new rows of the same key, other new rows added. Running it
     again with the same input changes nothing. Of new rows with one key, the values decide which
-    stays. Rows without key are told apart from nothing, so all of them stay. Only keys of ``new``
-    go to the existing rows: few are broadcast and the stored side is not shuffled."""
-    keyed = new.where(F.col(key).isNotNull())
-    keys = settle(keyed.select(F.col(key).alias("_new_key")).distinct())
-    if keys.count() <= broadcast_rows:
-        keys = F.broadcast(keys)
-    kept = existing.join(keys, F.col(key) == F.col("_new_key"), "left_anti")
-    first = first_per_key(keyed, [key], [F.xxhash64(*new.columns)])
-    return kept.unionByName(first).unionByName(new.where(F.col(key).isNull()))
+    stays. Rows without key are told apart from nothing, so all of them stay. New rows are computed
+    once and only those of repeated keys are ranked. Only keys of ``new`` go to the existing rows:
+    few are broadcast and the stored side is not shuffled."""
+    new = settle(new)
+    counted = settle(new.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_new_key")).agg(
+        F.count("*").alias("_n")))
+
+    def few(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+
+    same = F.col(key) == F.col("_new_key")
+    kept = existing.join(few(counted.select("_new_key")), same, "left_anti")
+    repeated = counted.where("_n > 1").select("_new_key")
+    if repeated.isEmpty():
+        return kept.unionByName(new)
+    repeated = few(repeated)
+    first = first_per_key(new.join(repeated, same, "left_semi"), [key], [F.xxhash64(*new.columns)])
+    return kept.unionByName(new.join(repeated, same, "left_anti")).unionByName(first)
 
 
 def merge_messages(history: DataFrame, new: DataFrame, key: str = "message_id") -> DataFrame:
