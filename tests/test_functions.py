@@ -293,3 +293,9 @@ def test_page_files_and_json_lines(spark, tmp_path):
     articles.write_articles(table, str(tmp_path / "json"), "json")
     back = articles.read_articles_json(spark, str(tmp_path / "json"), lines=True)
     assert sorted(r["title"] for r in back.collect()) == ["t\n1", "t2"]
+
+
+def test_pages_cross_to_python_in_small_batches(spark):
+    pages = spark.range(3).select(F.concat(F.lit("<p>a</p> "), F.col("id").cast("string")).alias("v"))
+    plan = pages.select(html.main_text(F.col("v")).alias("r"))._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
