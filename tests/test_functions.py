@@ -299,3 +299,17 @@ def test_pages_cross_to_python_in_small_batches(spark):
     pages = spark.range(3).select(F.concat(F.lit("<p>a</p> "), F.col("id").cast("string")).alias("v"))
     plan = pages.select(html.main_text(F.col("v")).alias("r"))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_splitter_holds_few_texts_as_python_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([("wörd " * 4000) + str(i) for i in range(500)] + [None, ""])
+    tracemalloc.start()
+    got = chunking.split_array(texts, 800, 150, chunking.SEPARATORS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000  # 10 MB of text, twice that as chunks and their list
+    assert got.to_pylist()[::100] == [chunking.split_recursive(t) for t in texts.to_pylist()[::100]]
