@@ -83,6 +83,50 @@ def test_search_sends_few_rows_to_the_shuffle(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_grid_hands_on_few_hits_and_copies(spark, monkeypatch):
+    """Up to k hits for each question and block of chunks, however many cells the block has."""
+    rng = np.random.default_rng(3)
+    c, q = rng.normal(size=(1000, 8)), rng.normal(size=(100, 8))
+    c[:400] = c[0]
+    q[:50] = c[0]
+    handed = []
+    monkeypatch.setattr(similarity, "_top", lambda hits, *a: handed.append(hits) or hits)
+    similarity.similarity_topk(
+        vectors(spark, q, "q_id"), vectors(spark, c, "chunk_id"), k=5, strategy="grid", pivots=64, block_rows=64)
+    got = sorted((r["q_id"], r["chunk_id"], r["score"]) for r in handed[0].collect())
+    assert got == brute(q, c, 5, None)
+
+
+def test_blocks_grow_with_the_tables():
+    for n in (50_000, 500_000, 1_000_000):
+        q_blocks, c_blocks = similarity._block_counts(n, n, 20, 4096, 24)
+        assert q_blocks <= 32 and c_blocks <= 4
+        assert q_blocks * c_blocks >= min(24, n // 4096)
+
+
+@pytest.mark.parametrize("k", [4, None])
+def test_kernel_over_cells_copies_and_odd_vectors(k):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(5, 6))
+    c = (centres[rng.integers(0, 5, 9000)] + 0.02 * rng.normal(size=(9000, 6))).astype(np.float32)
+    c[::7] = c[3]
+    c[11], c[12, 2], c[13, 1] = 0, np.nan, np.inf
+    q = np.vstack([c[:20], centres.astype(np.float32), np.full((1, 6), np.nan, np.float32)])
+    ids = rng.permutation(9000)
+    for min_score in (None, 0.999):
+        if k is None and min_score is None:
+            continue
+        best = similarity._BestHits(q, k, min_score, "chunk_id", pivots=16)
+        best.scan(pa.table({"chunk_id": ids[:6000]}), c[:6000])
+        best.scan(pa.table({"chunk_id": ids[6000:]}), c[6000:])
+        found = best.drain()
+        got = sorted(zip(found["_q"].to_pylist(), found["chunk_id"].to_pylist(), found["score"].to_pylist()))
+        by_id = np.argsort(ids)
+        assert got == brute(q, c[by_id], k, min_score)
+
+
 # --- retrieval -------------------------------------------------------------------------------
 
 
