@@ -22,7 +22,8 @@ Two documents link when their sets of word shingles overlap by at least ``percen
    A block of more than FAN leaves (a passage that many documents share) is no root. Its documents
    go under their rarest hashes instead: a set of size n that has at least percent of n in common
    with a partner shares one of its n * (100 - percent) / 100 + 1 rarest hashes, and of the
-   partner's. A common passage is not among the rarest, so documents that share no more do not meet.
+   partner's. A common passage is not among the rarest, so documents that share no more do not meet. As
+   documents of one component need not meet, hashes of one component only count as its rarest.
 5. Pairs that remain are decided on their whole sets. Documents of one component need no further
    comparing, so a group of copies costs its size and not its square.
 
@@ -291,18 +292,23 @@ def _leaf_pairs(under: DataFrame, percent: int) -> DataFrame:
 
 
 def _by_rarest(ids: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, id): the documents of ``ids`` (id) by their rarest hashes among each other, as many as any
-    linked partner must share one of; hashes of one document only are left out."""
-    sets = docs.join(ids, docs.doc_id == ids.id, "left_semi").select(
-        F.col("doc_id").alias("id"), shingles(F.col("text"), size).alias("hashes"))
+    """(key, id): the documents of ``ids`` (id, label) by their rarest hashes among each other, as many as any
+    linked partner must share one of. Hashes that one component has alone go before all others: they count as
+    rarest, but nothing of another component is found by them, so they are left out."""
+    sets = docs.join(ids, docs.doc_id == ids.id).select(
+        F.col("doc_id").alias("id"), "label", shingles(F.col("text"), size).alias("hashes"))
     # A doc_id with several texts has several sets. The outer form keeps Spark from making a filter of the
     # explode, which would compute the shingles of all documents at the scan; a NULL meets nothing below.
-    held = settle(sets.select("id", F.xxhash64("hashes").alias("of"), F.explode_outer("hashes").alias("hash")))
-    often = settle(held.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1"))
-    listed = held.join(often, "hash", "left").groupBy("id", "of").agg(F.sort_array(F.collect_set(
-        F.struct(F.coalesce("m", F.lit(1)).alias("m"), "hash"))).alias("rarest"))
-    first = F.expr(f"slice(rarest, 1, cast(size(rarest) * {100 - percent} div 100 as int) + 1)")
-    return listed.select("id", F.explode(first).alias("r")).where("r.m > 1").select(
+    held = settle(sets.select("id", "label", F.xxhash64("hashes").alias("of"), F.size("hashes").alias("n"),
+                              F.explode_outer("hashes").alias("hash")))
+    between = settle(held.groupBy("hash").agg(
+        F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where(
+        "lo < hi").select("hash", "m"))
+    listed = held.join(between, "hash").groupBy("id", "of", "n").agg(
+        F.sort_array(F.collect_set(F.struct("m", "hash"))).alias("rarest"))
+    alone = "(n - size(rarest))"
+    first = F.expr(f"slice(rarest, 1, greatest(0, cast(n * {100 - percent} div 100 as int) + 1 - {alone}))")
+    return listed.select("id", F.explode(first).alias("r")).select(
         F.xxhash64("r.hash", F.lit("rarest")).alias("key"), "id").distinct()
 
 
@@ -384,7 +390,7 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     left = _open_blocks(blocks, labels)
     wide = settle(left.join(shape.select("id", "leaf"), "id").groupBy("key").agg(
         F.approx_count_distinct(F.struct("label", "leaf")).alias("m")).where(F.col("m") > FAN).select("key"))
-    rare = _by_rarest(settle(left.join(wide, "key", "left_semi").select("id").distinct()), docs, size, percent)
+    rare = _by_rarest(settle(left.join(wide, "key", "left_semi").select("id", "label").distinct()), docs, size, percent)
     roots = left.join(wide, "key", "left_anti").select("key", "id").union(rare)
     inner = settle(_open_blocks(roots, labels).join(shape.select("id", "leaf"), "id"))
     hosts = settle(inner.select("id", "label").distinct().join(shape, "id").withColumns(

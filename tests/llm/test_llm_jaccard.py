@@ -176,3 +176,23 @@ def test_odd_rows(odd, none):
     assert {r[2] for r in got if r[0] in (4, 7)} == {4}
     assert [r for r in got if r[0] is None] == [(None, 38, None)]
     assert jaccard.similar(none, 3, 90).collect() == []
+
+
+def test_hashes_of_one_component_bring_no_keys(spark):
+    """op10: copies in one component need not meet, whatever their number; a partner elsewhere is found."""
+    rng = Random(4)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(60)]
+    near = [[f"x{i}", *base[1:]] for i in range(40)]
+    other = [*base[:-1], "y"]
+    texts = [" ".join(ws) for ws in [*near, other, [word() for _ in range(60)]]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = [0] * 40 + [40, 41]
+    ids = spark.createDataFrame(list(enumerate(label)), "id long, label long")
+    alone = ids.where("id < 40")
+    assert jaccard._by_rarest(alone, docs, 3, 90).count() == 0
+    keys = {}
+    for r in jaccard._by_rarest(ids, docs, 3, 90).collect():
+        keys.setdefault(r["key"], set()).add(r["id"])
+    assert keys and all(len({label[i] for i in x}) > 1 for x in keys.values())
+    assert set(range(41)) == set().union(*keys.values())
